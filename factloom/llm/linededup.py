@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import written
 
 #: Bits set for a hash, and room for a hash.
 PROBES, BITS_PER_KEY = 4, 16
@@ -156,7 +156,8 @@ def repeated_lines(
     # one row a document and key first, so that the exact count needs no set of ids
     held = rows.groupBy("digest", "doc_id").agg(F.lit(1).alias("one"))
     keys = held.groupBy("digest").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
-    keys = keys.filter(F.col("docs") >= min_docs).select("digest", "keeper")
+    # written, so that both sides of the join are exchanged and a hot key's suspects can be split
+    keys = written(keys.filter(F.col("docs") >= min_docs).select("digest", "keeper"), "keys")
     lost = rows.join(keys, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lost = lost.dropDuplicates(["doc_id", "text_hash", "digest"])
     return written(
@@ -192,8 +193,7 @@ def deduplicate(
         return pd.Series(out, dtype=object)
 
     on = F.col(id_col).eqNullSafe(F.col("__lost_id")) & (F.xxhash64(text_col) == F.col("__lost_hash"))
-    # line numbers take a few bytes each; a generous row width keeps the broadcast within its bound
-    joined = docs.join(small(lost, 512), on, "left")
+    joined = docs.join(lost, on, "left")
     out = [without(text_col, "__lost").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
         text = F.coalesce(F.col(text_col), F.lit(""))
