@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, linededup, mixing, packing, quality, rules, simhash, toxicity
+from . import ann, layout, linededup, mixing, packing, quality, rules, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.extract(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judge(_table(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_toxicity": op5_toxicity,
         "op6_linededup": op6_linededup,
+        "op7_layout": op7_layout,
         "op8_rules": op8_rules,
         "op9_pack": op9_pack,
         "op10_simhash": op10_simhash,
