@@ -55,21 +55,25 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> tuple[int,
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp, shingles): ``fp`` is the fingerprint's 64 bits as a long."""
+    """(doc_id, text_hash, fp, shingles): ``fp`` is the fingerprint's 64 bits as a long."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
         for batch in batches:
-            found = [fingerprint(t, words) for t in batch[text_col]]
+            found = [fingerprint(t, words) for t in batch["text"]]
             yield pd.DataFrame(
                 {
-                    "doc_id": batch[id_col].astype("Int64") if id_type == "bigint" else batch[id_col],
+                    "doc_id": batch["doc_id"].astype("Int64") if id_type == "bigint" else batch["doc_id"],
+                    "text_hash": batch["text_hash"],
                     "fp": np.array([f for f, _ in found], dtype=np.uint64).view(np.int64),
                     "shingles": np.array([n for _, n in found], dtype=np.int64),
                 }
             )
 
-    return docs.select(id_col, text_col).mapInPandas(scan, f"doc_id {id_type}, fp long, shingles long")
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")
+    )
+    return rows.mapInPandas(scan, f"doc_id {id_type}, text_hash long, fp long, shingles long")
 
 
 def _cuts(count: int, bits: int = BITS) -> list[tuple[int, int]]:
@@ -164,12 +168,32 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2,
     ratio: float | None = None, hot: int = 256,
 ) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document, the component named by its smallest id."""
+    """(doc_id, text_hash, fp, root, component_id): one row per document.
+
+    ``root`` names the component by a fingerprint, ``component_id`` by its smallest id.
+    """
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "prints")
     least = [F.min("doc_id").alias("least"), F.min("shingles").alias("size")]
     classes = written(prints.groupBy("fp").agg(*least), "classes")
     roots = components(links(classes, max_bits, hot, ratio)).withColumnRenamed("node", "fp")
     rooted = classes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(names, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(rooted.join(names, "root").select("fp", "root", "component_id"), "named")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each component, that of the smallest id, with its own columns."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    stays = found.groupBy("root").agg(first).select(
+        F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")
+    )
+    stays = written(stays, "stays")
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    kept = docs.join(stays, on, "left_semi")
+    if found.groupBy("doc_id", "text_hash").count().filter("count > 1").join(
+        stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi"
+    ).limit(1).count():
+        kept = kept.dropDuplicates([id_col, text_col])  # a kept row that is repeated as it is
+    return kept

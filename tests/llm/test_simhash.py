@@ -93,3 +93,13 @@ def test_documents_with_odd_rows(spark):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
     assert [r.component_id for r in got if r.doc_id is None] == [want[3]]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_deduplicate_keeps_one_row_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    near = text.replace("w150", "changed")
+    rows = [(5, text, "a"), (2, near, "b"), (2, near, "b"), (9, "other words entirely", "c"), (None, text, "d"), (None, "alone here", "e"), (None, "elsewhere", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    kept = simhash.deduplicate(docs, max_bits=7, ratio=0.8)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=str) == sorted([rows[1], rows[3], rows[5], rows[6]], key=str)
