@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +31,49 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows in an Arrow batch at most: whole texts are long.
+BATCH_ROWS = 1000
+_scope: list[str] | None = None
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches of texts short, so that workers hold a few MB each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the machine; workers live on after a task."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed when this driver ends."""
+    """A fresh path in the shared folder; it is removed when this driver ends, or with its scope."""
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    if _scope is not None:
+        _scope.append(path)
     return path
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the paths that are made inside, for ``remove`` once they are not needed any more."""
+    global _scope
+    outer, _scope = _scope, []
+    try:
+        yield _scope
+    finally:
+        _scope = outer
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

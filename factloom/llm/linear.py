@@ -134,7 +134,7 @@ def adam(step, start: list[np.ndarray], rounds: int, rate: float = 0.05) -> list
 class Scorer:
     """Scores whole texts with bucket weights; a bounded memo spares known words."""
 
-    MEMO = 400_000
+    MEMO = 100_000
 
     def __init__(self, active: np.ndarray, weights: np.ndarray, dense: np.ndarray, with_shape: bool = False):
         self.weight = {int(a): float(w) for a, w in zip(active, weights, strict=True) if w}

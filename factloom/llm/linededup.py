@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trim, written
 
 #: Bits set for a hash, and room for a hash.
 PROBES, BITS_PER_KEY = 4, 16
@@ -84,6 +84,7 @@ def seen_again(docs: DataFrame, text_col: str, min_chars: int, max_filter_bytes:
                 ]
                 h, n = np.unique(np.concatenate(rows), return_counts=True)
                 yield pd.DataFrame({"hash": h.view(np.int64), "n": np.minimum(n, 2).astype(np.int8)})
+        trim()
 
     hashes = written(docs.select(text_col).mapInPandas(hashed, "hash long, n tinyint"), "lines")
     most = max(1, max_filter_bytes * 8 // segment_bits)
@@ -148,6 +149,7 @@ def repeated_lines(
             out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "digest", "lines"])
             out["doc_id"] = out["doc_id"].astype("Int64") if id_type == "bigint" else out["doc_id"]
             yield out
+        trim()
 
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trim, written
 
 _ENCODERS: dict[str, object] = {}
 
@@ -83,6 +83,7 @@ def token_pieces(
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 out["doc_id"] = out["doc_id"].astype("Int64") if id_type == "bigint" else out["doc_id"]
                 yield out
+        trim()
 
     return docs.select(id_col, text_col).mapInPandas(
         cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"

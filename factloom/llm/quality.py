@@ -175,13 +175,14 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` whose posterior reaches ``threshold``, with their own columns.
 
-    Texts are scored twice, for the sites and for the verdicts, rather than written or shuffled.
+    Texts are scored once: the rows are written beside their scores and read again for the verdicts,
+    which is cheaper than scoring twice and shuffles no text.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_labelled=max_labelled)
     prior = _prior(labels, label_col)
-    llr = evidence(model, text_col)
+    scored = written(docs.withColumn("__llr", evidence(model, text_col)), "scored")
     by_site = sites(
-        docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), llr.alias("llr")), prior
+        scored.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col("__llr").alias("llr")), prior
     )
-    joined = _joined(docs.withColumn("__llr", llr), F.col(host_col), F.col(path_col), by_site)
+    joined = _joined(scored, F.col(host_col), F.col(path_col), by_site)
     return joined.filter(_posterior(prior)[1] >= threshold).select(*docs.columns)

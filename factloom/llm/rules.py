@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import small, trim, written
 
 #: Relative error of a sketched quantile.
 ERROR = 0.01
@@ -81,6 +81,7 @@ def counts(docs: DataFrame, id_col: str, text_col: str, groups: list[str]) -> Da
             for name, kind in zip(names, kinds, strict=True):
                 found[name] = batch[name].astype("Int64") if kind == "bigint" else batch[name]
             yield found[[*names, *COUNTS]]
+        trim()
 
     picked = [F.col(c).alias(n) for c, n in zip([id_col, *groups], names, strict=True)]
     schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), *(f"{c} long" for c in COUNTS)])
