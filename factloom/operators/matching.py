@@ -9,7 +9,7 @@ nested-loop join (a handful of names, JVM only).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -34,11 +34,13 @@ def contains_pairs(strings: DataFrame, names: DataFrame, *, owner: str = "bin",
         found = rows.join(F.broadcast(names), F.contains(F.col("s"), F.col("name"))).select("owner", "name")
     elif method == "explode":
         lengths = sorted(r[0] for r in names.select(F.length("name")).distinct().collect())  # few: lengths of names
-        starts = lambda k: F.sequence(F.lit(1), F.length("s") - (k - 1))
-        pieces = [
-            F.when(F.length("s") >= k, F.transform(starts(k), lambda at, k=k: F.substr(F.col("s"), at, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-            for k in lengths
-        ]
+
+        def substrings(k: int) -> Column:
+            every = F.sequence(F.lit(1), F.length("s") - (k - 1))
+            cut = F.transform(every, lambda at: F.substr(F.col("s"), at, F.lit(k)))
+            return F.when(F.length("s") >= k, cut).otherwise(F.array().cast("array<string>"))
+
+        pieces = [substrings(k) for k in lengths]
         if not pieces:
             return rows.select("owner", F.lit("").alias("name")).limit(0)
         parts = rows.select("owner", F.explode(F.array_distinct(F.concat(*pieces))).alias("name"))

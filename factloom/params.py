@@ -70,8 +70,8 @@ CHANNELS = (
     ("setter_getter", SET_WORDS, GET_WORDS),
 )
 #: Characters of strings decoded from memory, their least length and the window read.
-STRING_CHARS = "0-9A-Za-z_/-"
-STRING_CHARS_EXTENDED = STRING_CHARS + r"%,.;+=)(*&^$#@!~`?|<>{}\[\] \""
+STRING_CHARS = r"0-9A-Za-z_/\-"
+STRING_CHARS_EXTENDED = r"0-9A-Za-z_/\-%,.;+=)(*&^$#@!~`?|<>{}\[\] \""
 STRING_LEAST, STRING_WINDOW = 3, 255
 #: Weights of blocks, branches and comparisons in a parsing score, and its two factors.
 SCORE_WEIGHTS, SCORE_CHECKED, SCORE_MARK = (0.5, 0.4, 0.7), 2.0, 5.0

@@ -98,10 +98,10 @@ def kw_provenance(spark, sf_dir):
     return keywords.limited(_keywords(spark, sf_dir))
 
 
-@query(f"SELECT name, count(DISTINCT page_id) AS places FROM ({_SEGMENTS}) WHERE {_LOOSE} GROUP BY name HAVING count(DISTINCT page_id) > 10")
+@query(f"SELECT name, count(DISTINCT page_id) AS places FROM ({_SEGMENTS}) WHERE {_LOOSE} GROUP BY name HAVING count(DISTINCT page_id) > 5")
 def kw_removed(spark, sf_dir):
     rows = _segments(spark, sf_dir).select("name", F.col("page_id").alias("path"), F.lit(False).alias("checked"))
-    return keywords.limited(keywords.accepted(rows), keep=False)
+    return keywords.limited(keywords.accepted(rows), 5, keep=False)
 
 
 @query(f"SELECT name, string_agg(DISTINCT page_id::VARCHAR, ' ' ORDER BY page_id::VARCHAR) AS files FROM ({_KEYWORDS}) GROUP BY name")

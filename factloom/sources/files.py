@@ -56,4 +56,4 @@ def executables(files: DataFrame) -> DataFrame:
 
 def readable(content: Column) -> Column:
     """UTF-8 text of a file; what is no UTF-8 is left out."""
-    return F.replace(F.decode(content, "UTF-8"), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))

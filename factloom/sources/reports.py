@@ -65,7 +65,7 @@ def case_lines(cases: DataFrame) -> DataFrame:
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """taint_cases of a file of three-line records; a file is read by one task, line order matters."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
 
     def scan(batches):
         for batch in batches:
@@ -79,7 +79,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """(name, path, counts) of the older 14-line cluster report: a line ``label : value`` each."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
 
     def scan(batches):
         for batch in batches:
