@@ -195,7 +195,8 @@ def deduplicate(
         return pd.Series(out, dtype=object)
 
     on = F.col(id_col).eqNullSafe(F.col("__lost_id")) & (F.xxhash64(text_col) == F.col("__lost_hash"))
-    joined = docs.join(lost, on, "left")
+    # a merge join whatever the size: how the plan grows is then the same everywhere
+    joined = docs.join(lost.hint("merge"), on, "left")
     out = [without(text_col, "__lost").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
         text = F.coalesce(F.col(text_col), F.lit(""))
