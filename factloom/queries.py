@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import devices, text
@@ -332,12 +332,18 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("bin", named("l_suppkey").alias("caller"), (F.col("bin") * 10 + F.col("l_linenumber")).alias("call_addr"), named("to").alias("callee"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT year(l_shipdate) AS bin, l_suppkey AS f, (l_partkey % 100) + 1 AS c FROM lineitem WHERE l_quantity = 50),
-  r AS (SELECT DISTINCT bin, 1::BIGINT AS func FROM e UNION SELECT e.bin, e.c FROM r JOIN e ON e.bin = r.bin AND e.f = r.func) SELECT bin, func FROM r""")
+_DAY = "strftime(l_shipdate, '%Y%m%d')::BIGINT"
+
+
+def _day(c: str) -> Column:
+    return F.date_format(c, "yyyyMMdd").cast("bigint")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT {_DAY} AS bin, l_suppkey AS f, (l_partkey % 100) + 1 AS c FROM lineitem),
+  r AS (SELECT bin, min(f) AS func FROM e GROUP BY bin UNION SELECT e.bin, e.c FROM r JOIN e ON e.bin = r.bin AND e.f = r.func) SELECT bin, func FROM r""")
 def reach(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").filter("l_quantity = 50")  # the calls of interest
-    edges = rows.select(F.year("l_shipdate").cast("bigint").alias("bin"), F.col("l_suppkey").alias("caller"), (F.col("l_partkey") % 100 + 1).alias("callee"))
-    return graph.reachable(edges, edges.select("bin", F.lit(1).cast("bigint").alias("func")).distinct())
+    edges = _t(spark, sf_dir, "lineitem").select(_day("l_shipdate").alias("bin"), F.col("l_suppkey").alias("caller"), (F.col("l_partkey") % 100 + 1).alias("callee"))
+    return graph.reachable(edges, edges.groupBy("bin").agg(F.min("caller").alias("func")))
 
 
 @query(f"""WITH RECURSIVE e AS ({_FUNCS}), ref AS (SELECT bin, min(caller) AS start FROM e GROUP BY bin),
@@ -515,13 +521,14 @@ def value_checks(spark, sf_dir):
 
 # --- units that share keys -------------------------------------------------------------------------
 
-_SETS = "SELECT DISTINCT user_id AS unit, props AS key FROM events WHERE event_type = 'purchase' AND value > 60"
-_GETS = "SELECT DISTINCT user_id AS unit, props AS key FROM events WHERE event_type = 'view' AND value > 60"
+_KEY = "props || strftime(ts, '%Y%m%d')"
+_SETS = f"SELECT DISTINCT user_id AS unit, {_KEY} AS key FROM events WHERE event_type = 'purchase'"
+_GETS = f"SELECT DISTINCT user_id AS unit, {_KEY} AS key FROM events WHERE event_type = 'view'"
 
 
 def _uses(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "events").filter((F.col("event_type") == kind) & (F.col("value") > 60))
-    return rows.select(F.col("user_id").alias("unit"), F.col("props").alias("key"))
+    rows = _t(spark, sf_dir, "events").filter(F.col("event_type") == kind)
+    return rows.select(F.col("user_id").alias("unit"), F.concat("props", F.date_format("ts", "yyyyMMdd")).alias("key"))
 
 
 @query(f"SELECT s.unit AS setter, g.unit AS getter, count(*) AS keys FROM ({_SETS}) s JOIN ({_GETS}) g ON s.key = g.key AND s.unit <> g.unit GROUP BY ALL")
@@ -552,23 +559,24 @@ def channel_roles(spark, sf_dir):
 
 # --- taint -----------------------------------------------------------------------------------------
 
-_FLOWS = "SELECT DISTINCT l_returnflag AS bin, l_suppkey AS src, (l_partkey % 100) + 1 AS dst FROM lineitem WHERE l_quantity = 7"
+_FLOWS = f"SELECT DISTINCT {_DAY} AS bin, l_suppkey AS src, (l_partkey % 100) + 1 AS dst FROM lineitem"
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").filter("l_quantity = 7")
-    return rows.select(F.col("l_returnflag").alias("bin"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst")).distinct()
+    rows = _t(spark, sf_dir, "lineitem")
+    return rows.select(_day("l_shipdate").alias("bin"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst")).distinct()
 
 
 def _tainted(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = _flows(spark, sf_dir)
-    seeds = flows.select("bin", F.lit(1).cast("bigint").alias("var")).distinct()
+    seeds = flows.groupBy("bin").agg(F.min("src").alias("var"))
     clean = flows.select("bin", F.col("dst").alias("var")).filter("var % 7 = 0")
     return taint.tainted(flows, seeds, clean)
 
 
-_TAINTED = f"""WITH RECURSIVE f AS ({_FLOWS}), r AS (SELECT DISTINCT bin, 1::BIGINT AS var, 0 AS depth FROM f
-  UNION SELECT f.bin, f.dst, depth + 1 FROM r JOIN f ON f.bin = r.bin AND f.src = r.var WHERE f.dst % 7 <> 0 AND depth < 20)
+_TAINTED = f"""WITH RECURSIVE f AS ({_FLOWS}), g AS (SELECT bin, min(src) AS var FROM f GROUP BY bin),
+  r AS (SELECT bin, var, 0 AS depth FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.bin = g.bin AND f.dst = g.var AND f.dst % 7 = 0)
+  UNION SELECT f.bin, f.dst, depth + 1 FROM r JOIN f ON f.bin = r.bin AND f.src = r.var WHERE f.dst % 7 <> 0 AND depth < 50)
   SELECT bin, var, min(depth) AS depth FROM r GROUP BY bin, var"""
 
 
@@ -577,11 +585,11 @@ def taint_fixpoint(spark, sf_dir):
     return _tainted(spark, sf_dir)
 
 
-@query(f"""SELECT DISTINCT l_returnflag AS bin, l_orderkey * 10 + l_linenumber AS call_addr, 'system' AS callee, 'command' AS class, 0 AS pos FROM lineitem
-  JOIN ({_TAINTED}) t ON t.bin = l_returnflag AND t.var = l_suppkey WHERE l_linestatus = 'O'""")
+@query(f"""SELECT DISTINCT {_DAY} AS bin, l_orderkey * 10 + l_linenumber AS call_addr, 'system' AS callee, 'command' AS class, 0 AS pos FROM lineitem
+  JOIN ({_TAINTED}) t ON t.bin = {_DAY} AND t.var = l_suppkey WHERE l_linestatus = 'O'""")
 def taint_alerts(spark, sf_dir):
     calls = _t(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("bin"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_addr"),
+        _day("l_shipdate").alias("bin"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_addr"),
         F.when(F.col("l_linestatus") == "O", "system").otherwise("puts").alias("callee"), F.col("l_suppkey").alias("var"),
     )
     plain = calls.filter("callee = 'system'").select("bin", "call_addr", "callee")
