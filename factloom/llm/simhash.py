@@ -130,7 +130,8 @@ def links(classes: DataFrame, max_bits: int = 2, hot: int = 256, ratio: float |
     cuts = _cuts(max_bits // 2 + 1)
     keep, on = ["fp"], ["at", "rest"]
     near = F.bit_count(F.expr("a ^ b")) <= max_bits
-    rows = classes
+    # each row becomes 64 or more: spread them before, over as many tasks as a shuffle has
+    rows = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     if ratio:
         keep, on = ["fp", "size", "step"], ["at", "rest", "bin"]
         near = near & (F.least("a_size", "b_size") >= ratio * F.greatest("a_size", "b_size"))

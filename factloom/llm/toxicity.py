@@ -32,7 +32,7 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, decay: float = 3e-4):
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 600, decay: float = 1e-4):
     """(active buckets, weights, bias) by the non-negative risk with the logistic loss."""
     active = linear.telling(positive, unlabelled)
     ones = lambda rows: np.ones((len(rows), 1))
