@@ -91,7 +91,8 @@ def score(
 
     @F.pandas_udf("double")
     def toxic(text: pd.Series) -> pd.Series:
-        return pd.Series(linear.sigmoid(np.array([model(t) for t in text], dtype=float)))
+        z = np.array([model(t) for t in text], dtype=float)
+        return pd.Series(np.where(np.isneginf(z), 0.0, linear.sigmoid(z)))
 
     scored = docs.select(
         F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), toxic(text_col).alias("score")
