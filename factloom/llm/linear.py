@@ -120,14 +120,15 @@ def telling(positive: list[np.ndarray], other: list[np.ndarray], least: int = 5,
 
 
 def adam(step, start: list[np.ndarray], rounds: int, rate: float = 0.05) -> list[np.ndarray]:
-    """``step`` gives the gradients at the parameters; full batches, so runs are reproducible."""
+    """``step`` gives the gradients at the parameters; full batches, so runs are reproducible; the rate
+    falls to nothing."""
     x = [s.copy() for s in start]
     m, v = [np.zeros_like(s) for s in start], [np.zeros_like(s) for s in start]
     for t in range(1, rounds + 1):
         for k, g in enumerate(step(x)):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
-            x[k] = x[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            x[k] = x[k] - rate * (1 - t / (rounds + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     return x
 
 
