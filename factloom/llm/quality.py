@@ -30,7 +30,7 @@ from . import linear
 from .common import small, written
 
 
-def train(features: list[np.ndarray], shapes: np.ndarray, good: np.ndarray, rounds: int = 300, decay: float = 1e-3):
+def train(features: list[np.ndarray], shapes: np.ndarray, good: np.ndarray, rounds: int = 600, decay: float = 1e-3):
     """(active buckets, weights, dense weights): class-balanced logistic regression."""
     yes = [f for f, g in zip(features, good, strict=True) if g]
     no = [f for f, g in zip(features, good, strict=True) if not g]
