@@ -37,8 +37,9 @@ def closure(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[
     """
     known = fresh = saved(seed.dropDuplicates(keys))
     for _ in range(rounds):
-        fresh = saved(step(fresh).select(*known.columns).dropDuplicates(keys).join(known, keys, "left_anti").select(*known.columns))
+        new = step(fresh).select(*known.columns).dropDuplicates(keys)
+        fresh = saved(new.join(known.select(*keys), keys, "left_anti").select(*known.columns))
         if not fresh.limit(1).count():
             break
-        known = saved(known.unionByName(fresh))
+        known = known.unionByName(fresh)  # of saved tables: nothing is computed again
     return known
