@@ -87,3 +87,29 @@ def test_run_is_the_stages_one_after_the_other(spark, stages):
     want = stages["best-fit packing"][1].select(*cells)
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
     assert got.agg(F.sum("length")).first() == want.agg(F.sum("length")).first()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_documents_pass_every_stage(spark, tmp_path, empty):
+    long = "Ein langer Satz mit vielen verschiedenen Wörtern darin, der Absatz %d.\n"
+    rows = [
+        (1, None, None, None, None, "x"), (2, "", "en", "s", 0, None), (3, " \n\t", "en", "s", 3, "x"), (None, long % 7 * 3, "de", None, 5, "x"),
+        (4, "".join(long % i for i in range(3000)), "de", "s", 9, "x"), (5, "same words here and there again", "en", "s", 9, "x"),
+        (5, "same words here and there again", "en", "s", 9, "x"), (6, "same words here and there again", None, "s", 9, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rate string")
+    docs = docs.limit(0) if empty else docs
+    before = None
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path / str(k))
+        stage(spark, docs, SF).write.parquet(path)
+        after = spark.read.parquet(path)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert after.columns == docs.columns, name
+        if empty:
+            assert after.count() == 0, name
+        before, docs = docs, after
+    if not empty:
+        held = {r.doc_id for r in before.collect()}
+        assert 4 in held and not {5, 6} <= held
+        assert {r.doc_id for r in docs.collect()} == held
