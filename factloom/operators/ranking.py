@@ -54,13 +54,21 @@ def first_cluster(scores: DataFrame, *, owner: str = "bin", score: str = "score"
     """The first density cluster of the scores, highest first.
 
     With fewer than ``core`` rows it is the best one; otherwise the best ``core`` and what follows
-    them while neighbours are at most ``gap`` apart.  The order is global, so one task ranks the
-    scores: one short row a unit.
+    them while neighbours are at most ``gap`` apart.  Neighbours in one bucket of width ``gap`` are
+    never too far apart, so only each bucket's least and greatest score are put in order.
     """
-    order = Window.orderBy(F.desc(score), owner)
-    ranked = scores.select(owner, score, F.row_number().over(order).alias("n"), (F.lag(score).over(order) - F.col(score)).alias("step"))
-    cut = ranked.select("*", F.max(((F.col("step") > gap) & (F.col("n") > core)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("past"), F.count("*").over(Window.partitionBy()).alias("all"))
-    return cut.filter(F.when(F.col("all") < core, F.col("n") == 1).otherwise(F.col("past") == 0)).select(owner, score)
+    best = scores.select(owner, score).orderBy(F.desc(score), owner).limit(core)
+    rows = best.collect()  # at most ``core``
+    if len(rows) < core:
+        return best.limit(1)
+    last = F.lit(rows[-1][score])
+    below = scores.filter(F.col(score) <= last).groupBy(F.floor((last - F.col(score)) / gap).alias("bucket")).agg(
+        F.min(score).alias("low"), F.max(score).alias("high")
+    )
+    apart = F.lag("low").over(Window.orderBy("bucket")) - F.col("high") > gap
+    cut = below.select("high", apart.alias("apart")).filter("apart").agg(F.max("high")).first()[0]
+    found = scores.select(owner, score)
+    return found if cut is None else found.filter(F.col(score) > cut)
 
 
 def named_top(counts: DataFrame, *, name: str = "name", count: str = "n", top: int = 5) -> DataFrame:
