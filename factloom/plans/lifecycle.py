@@ -71,11 +71,9 @@ def confirmed(paths: DataFrame, calls: DataFrame, args: DataFrame, flows: DataFr
     ``calls``: bin, call_addr, callee; ``args``: bin, call_addr, pos, var; ``seeds``: bin, var.
     """
     spark = paths.sparkSession
-    cases = reports.merged_cases(reports.kept_lines(reports.path_lines(graph.formatted(paths))))
-    allowed = cases.select(F.explode("sinks").alias("call_addr")).distinct()
-    allowed = paths.select("bin", F.element_at("path", -1)["addr"].alias("call_addr")).distinct().join(allowed, "call_addr", "left_semi")
+    kept = paths.filter(reports.kept_parameter(F.col("param")))
+    allowed = kept.select("bin", F.element_at("path", -1)["addr"].alias("call_addr")).distinct()
     summaries = taint.table_of(spark, "summaries")
     moves = flows.select("bin", "src", "dst").union(taint.call_flows(calls, args, summaries)).distinct()
-    clean = taint.sanitized(calls, args, summaries, seeds).join(seeds.select("bin", "var"), ["bin", "var"], "left_anti")
-    reached = taint.tainted(moves, seeds, clean)
+    reached = taint.tainted(moves, seeds, taint.sanitized(calls, args, summaries, seeds))
     return taint.alerts(calls, args, reached, taint.table_of(spark, "sinks"), classes=classes, allowed=allowed)

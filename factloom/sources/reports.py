@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params
@@ -36,11 +36,15 @@ def path_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return found.filter("has").drop("has")
 
 
+def kept_parameter(name: Column) -> Column:
+    """A parameter longer than one character that is no interface label and not a number.  (A check for
+    ``%`` and ``$`` never had an effect and has none here.)"""
+    return (F.length(name) > 1) & ~F.lower(name).isin(*params.LABELS) & ~name.rlike("^[0-9]+$")
+
+
 def kept_lines(parsed: DataFrame) -> DataFrame:
-    """Lines with over two addresses whose argument is longer than one character, no interface label
-    and not a number.  (A check for ``%`` and ``$`` never had an effect and has none here.)"""
-    quoted = F.lower("quoted")
-    return parsed.filter((F.size("hex") > 2) & (F.length("quoted") > 1) & ~quoted.isin(*params.LABELS) & ~quoted.rlike("^[0-9]+$"))
+    """Lines with over two addresses and a parameter that is kept."""
+    return parsed.filter((F.size("hex") > 2) & kept_parameter(F.col("quoted")))
 
 
 def merged_cases(parsed: DataFrame) -> DataFrame:
