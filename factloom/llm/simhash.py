@@ -7,10 +7,11 @@ the variants yields candidates, and the whole fingerprints verify them.
 
 Scale: copies collapse to one fingerprint before anything is indexed, so rows grow with distinct
 fingerprints (64 each), not with copies.  A pair is emitted once - by its first near segment, at the
-wiped bit in which that segment differs - so no distinct is needed.  Variants shared by more than
-``hot`` fingerprints are indexed once more by the rest of the fingerprint, in the same way; that
-second key fixes most of the 64 bits, so no bucket is searched pair by pair however common its
-segment is, and nothing is capped.
+wiped bit in which that segment differs.  A bucket of more than ``crowd`` fingerprints gives a
+spanning forest of its links instead of all of them, so that a large group of near copies makes rows
+in proportion to its size.  Variants shared by more than ``hot`` fingerprints are indexed once more
+by the rest of the fingerprint, in the same way; that second key fixes most of the 64 bits, so no
+bucket is searched as a whole however common its segment is, and nothing is capped.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, which links like
 any other; fewer words than a shingle count as one shingle; repeated rows stay and share their
@@ -120,8 +121,29 @@ def _first_meeting(x: Column, at: Column, cuts: list[tuple[int, int]]) -> Column
     return found
 
 
-def links(classes: DataFrame, max_bits: int = 2, hot: int = 256, ratio: float | None = None) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct ``fp`` that differ in at most ``max_bits`` bits.
+def forest(fps: np.ndarray, sizes: np.ndarray | None, max_bits: int, ratio: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links among distinct fingerprints."""
+    left, a, b = np.arange(len(fps)), [], []
+    bits = fps.view(np.uint64)
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = np.bitwise_count(bits[left] ^ bits[at]) <= max_bits
+            if ratio:
+                low, high = np.minimum(sizes[left], sizes[at]), np.maximum(sizes[left], sizes[at])
+                near &= low >= ratio * high
+            found, left = left[near], left[~near]
+            queue += found.tolist()
+            a += [at] * len(found)
+            b += found.tolist()
+    return fps[np.array(a, dtype=np.int64)], fps[np.array(b, dtype=np.int64)]
+
+
+def links(
+    classes: DataFrame, max_bits: int = 2, hot: int = 4096, ratio: float | None = None, crowd: int = 32
+) -> DataFrame:
+    """(a, b): pairs of distinct ``fp`` within ``max_bits`` bits that connect all those that are.
 
     With ``ratio`` the classes carry ``size``, and a pair also needs sizes within that ratio.  The
     size's step on the scale of that ratio then belongs to the key: sizes within the ratio are at
@@ -143,32 +165,40 @@ def links(classes: DataFrame, max_bits: int = 2, hot: int = 256, ratio: float |
     shared = written(
         rows.selectExpr("*", f"count(*) OVER (PARTITION BY {', '.join(on)}) AS n").filter("n > 1"), "variants"
     )
+    few = shared.filter(F.col("n") <= crowd)
+    left = few.select(*on, *(F.col(c).alias("a" if c == "fp" else f"a_{c}") for c in keep))
+    right = few.select(*on, *(F.col(c).alias("b" if c == "fp" else f"b_{c}") for c in keep))
     first = _first_meeting(F.expr("a ^ b"), F.col("at"), cuts)
+    found = left.join(right, on).filter(F.col("a") < F.col("b")).filter(near & first).select("a", "b")
+
+    def span(key, group):
+        sizes = np.maximum(1, group["size"].to_numpy()) if ratio else None
+        a, b = forest(group["fp"].to_numpy(), sizes, max_bits, ratio)
+        return pd.DataFrame({"a": a, "b": b})
 
-    def meet(rows: DataFrame, on: list[str]) -> DataFrame:
-        left = rows.select(*on, *(F.col(c).alias("a" if c == "fp" else f"a_{c}") for c in keep))
-        right = rows.select(*on, *(F.col(c).alias("b" if c == "fp" else f"b_{c}") for c in keep))
-        return left.join(right, on).filter(F.col("a") < F.col("b")).filter(near & first).select("a", "b")
+    def spanned(rows: DataFrame, on: list[str]) -> DataFrame:
+        return rows.select(*on, *keep[:2]).groupBy(*on).applyInPandas(span, "a long, b long")
 
-    found = meet(shared.filter(F.col("n") <= hot), on)
-    crowd = shared.filter(F.col("n") > hot)
-    if crowd.limit(1).count():
+    many = shared.filter(F.col("n") > crowd)
+    if many.limit(1).count():
+        found = found.union(spanned(many.filter(F.col("n") <= hot), on))
+        huge = many.filter(F.col("n") > hot)
         # outside the shared segment at most max_bits bits differ, so the same cut holds once more
-        for own in cuts:
+        for own in cuts if huge.limit(1).count() else []:
             rest = [c for c in cuts if c != own] or cuts
             parts = -(-(max_bits // 2 + 1) // len(rest))
             others = [(at + a, w) for at, width in rest for a, w in _cuts(parts, width)]
-            again = crowd.filter((F.col("at") >= own[0]) & (F.col("at") < own[0] + own[1]))
+            again = huge.filter((F.col("at") >= own[0]) & (F.col("at") < own[0] + own[1]))
             again = again.select(*on, *keep, F.explode(_variants(F.col("fp"), others)).alias("v"))
             again = again.select(*on, *keep, F.col("v.at").alias("at2"), F.col("v.rest").alias("rest2"))
-            found = found.union(meet(again, [*on, "at2", "rest2"]))
+            found = found.union(spanned(again, [*on, "at2", "rest2"]))
         found = found.distinct()
     return found
 
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2,
-    ratio: float | None = None, hot: int = 256,
+    ratio: float | None = None, hot: int = 4096,
 ) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id): one row per document.
 
