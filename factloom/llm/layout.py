@@ -54,6 +54,8 @@ IMPLIED = (
 _WALLS = {"table": set(), "td": {"table", "tr"} | _PARTS, "th": {"table", "tr"} | _PARTS}
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
+#: A tag whose quotes never close ends at the next ">" after all, so that no text is lost with it.
+_UNQUOTED = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(>|$)")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -88,7 +90,7 @@ def parse(html: str) -> Node:
 
     while at < end:
         start = html.find("<", at)
-        token = _TOKEN.match(html, start) if start >= 0 else None
+        token = (_TOKEN.match(html, start) or _UNQUOTED.match(html, start)) if start >= 0 else None
         if start < 0 or token is None:
             stop = end if start < 0 else start + 1
             stack[-1].children.append(unescape(html[at:stop]))
@@ -202,8 +204,7 @@ def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
             elif child.name == "tr":
                 if visible(child):
                     cells = [c for c in child.children if isinstance(c, Node) and c.name in _CELLS and visible(c)]
-                    loose = [c for c in child.children if c not in cells and (not isinstance(c, str) or c.strip())]
-                    other += [c for c in loose if isinstance(c, str) or c.name not in _CELLS]
+                    other += [c for c in child.children if (c.strip() if isinstance(c, str) else c.name not in _CELLS)]
                     rows.append(cells)
             elif child.name in _CELLS:
                 if visible(child):

@@ -96,6 +96,9 @@ def test_hard_pages_take_linear_time():
     layout.render("<" * 100000)
     layout.render("<a " + "x=' " * 50000)
     layout.render("<!--" * 30000)
+    layout.render('<a "' * 100001)
+    assert layout.render("<a href='x>one</a><p>two") == "one\n\ntwo"
+    assert len(layout.render("<table><tr>" + "<td>c" * 20000).split()) == 20000
     assert time.time() - began < 20
 
 
