@@ -158,7 +158,8 @@ def links(
         keep, on = ["fp", "size", "step"], ["at", "rest", "bin"]
         near = near & (F.least("a_size", "b_size") >= ratio * F.greatest("a_size", "b_size"))
         near = near & (F.col("bin") == F.greatest("a_step", "b_step"))
-        step = F.floor(F.log(F.greatest("size", F.lit(1))) / -math.log(ratio)).cast("int")
+        rows = rows.withColumn("size", F.greatest("size", F.lit(1)))
+        step = F.floor(F.log("size") / -math.log(ratio)).cast("int")
         rows = rows.withColumn("step", step).withColumn("bin", F.explode(F.array(F.col("step"), F.col("step") + 1)))
     rows = rows.select(*keep, *on[2:], F.explode(_variants(F.col("fp"), cuts)).alias("v"))
     rows = rows.select(*keep, *on[2:], F.col("v.at").alias("at"), F.col("v.rest").alias("rest"))
@@ -172,7 +173,7 @@ def links(
     found = left.join(right, on).filter(F.col("a") < F.col("b")).filter(near & first).select("a", "b")
 
     def span(key, group):
-        sizes = np.maximum(1, group["size"].to_numpy()) if ratio else None
+        sizes = group["size"].to_numpy() if ratio else None
         a, b = forest(group["fp"].to_numpy(), sizes, max_bits, ratio)
         return pd.DataFrame({"a": a, "b": b})
 
