@@ -13,6 +13,12 @@ in proportion to its size.  Variants shared by more than ``hot`` fingerprints ar
 by the rest of the fingerprint, in the same way; that second key fixes most of the 64 bits, so no
 bucket is searched as a whole however common its segment is, and nothing is capped.
 
+With ``similar`` the links of fingerprints are candidates only: a link of two texts stays where the
+exact Jaccard similarity of their sets of ``SHINGLE``-word shingles is at least that, and components are of
+texts.  Of the texts of one fingerprint the first ``HUBS`` stand for it towards others and are
+compared with all of its texts, so that pairs grow with texts; crowded buckets walk their members in
+``ORDERS`` orders, as a link of one forest may fail the comparison.
+
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, which links like
 any other; fewer words than a shingle count as one shingle; repeated rows stay and share their
 class; null ids take part but never name a component (it is null if it has no other id); an empty
@@ -32,6 +38,9 @@ from pyspark.sql import functions as F
 from .common import components, trim, written
 
 BITS = 64
+SHINGLE = 5
+HUBS = 8
+ORDERS = 4
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> tuple[int, int]:
@@ -78,6 +87,18 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInPandas(scan, f"doc_id {id_type}, text_hash long, fp long, shingles long")
 
 
+def shingle_set(text: str | None, words: int = SHINGLE) -> set[bytes]:
+    """The distinct shingles of one text, over the words of its fingerprint."""
+    w = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def similarity(a: set[bytes], b: set[bytes]) -> float:
+    """Jaccard similarity; two empty sets are equal."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
 def _cuts(count: int, bits: int = BITS) -> list[tuple[int, int]]:
     """(first bit, width) of each of ``count`` nearly equal segments."""
     edges = [round(k * bits / count) for k in range(count + 1)]
@@ -141,10 +162,13 @@ def forest(fps: np.ndarray, sizes: np.ndarray | None, max_bits: int, ratio: floa
 
 
 def links(
-    classes: DataFrame, max_bits: int = 2, hot: int = 4096, ratio: float | None = None, crowd: int = 32
+    classes: DataFrame, max_bits: int = 2, hot: int = 4096, ratio: float | None = None, crowd: int = 32,
+    orders: int = 1,
 ) -> DataFrame:
     """(a, b): pairs of distinct ``fp`` within ``max_bits`` bits that connect all those that are.
 
+    With ``orders`` above 1, crowded buckets walk their members in so many different orders.
+
     With ``ratio`` the classes carry ``size``, and a pair also needs sizes within that ratio.  The
     size's step on the scale of that ratio then belongs to the key: sizes within the ratio are at
     most one step apart, so each row is indexed at its own step and the next.
@@ -173,6 +197,9 @@ def links(
     found = left.join(right, on).filter(F.col("a") < F.col("b")).filter(near & first).select("a", "b")
 
     def span(key, group):
+        if orders > 1:  # key[0] is the wiped bit
+            odd = np.uint64(2 * (int(key[0]) % orders) + 0x9E3779B97F4A7C15)
+            group = group.iloc[np.argsort(group["fp"].to_numpy().view(np.uint64) * odd, kind="stable")]
         sizes = group["size"].to_numpy() if ratio else None
         a, b = forest(group["fp"].to_numpy(), sizes, max_bits, ratio)
         return pd.DataFrame({"a": a, "b": b})
@@ -197,18 +224,60 @@ def links(
     return found
 
 
+def verified(prints: DataFrame, found: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(a, b): pairs of text hashes, of one fingerprint or of two linked ones, that are similar enough.
+
+    ``prints`` has (text_hash, fp), ``found`` the links of fingerprints, ``texts`` (text_hash, text).
+    """
+    distinct = prints.select("fp", "text_hash").distinct()
+    place = F.expr("row_number() OVER (PARTITION BY fp ORDER BY text_hash)")
+    numbered = written(distinct.withColumn("place", place), "texts")
+    hubs = numbered.filter(F.col("place") <= HUBS)
+    inside = hubs.select("fp", F.col("text_hash").alias("a"), F.col("place").alias("first")).join(
+        numbered.filter("place > 1").select("fp", F.col("text_hash").alias("b"), "place"), "fp"
+    )
+    inside = inside.filter("first < place").select("a", "b")
+    across = found.join(hubs.select(F.col("fp").alias("a"), F.col("text_hash").alias("ha")), "a")
+    across = across.join(hubs.select(F.col("fp").alias("b"), F.col("text_hash").alias("hb")), "b")
+    across = across.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    pairs = written(inside.union(across).distinct(), "pairs")
+    # only texts of a pair are shuffled, each once
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
+    held = written(texts.join(paired, "text_hash", "left_semi").dropDuplicates(["text_hash"]), "paired")
+    sides = pairs.join(held.select(F.col("text_hash").alias("a"), F.col("text").alias("ta")), "a")
+    sides = sides.join(held.select(F.col("text_hash").alias("b"), F.col("text").alias("tb")), "b")
+
+    def compare(batches):
+        for batch in batches:
+            alike = [similarity(shingle_set(x), shingle_set(y)) >= similar for x, y in zip(batch["ta"], batch["tb"], strict=True)]
+            yield batch.loc[np.array(alike, dtype=bool), ["a", "b"]]
+        trim()
+
+    return sides.mapInPandas(compare, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2,
-    ratio: float | None = None, hot: int = 4096,
+    ratio: float | None = None, hot: int = 4096, similar: float | None = None, crowd: int = 32,
 ) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id): one row per document.
 
-    ``root`` names the component by a fingerprint, ``component_id`` by its smallest id.
+    ``root`` names the component by a fingerprint (with ``similar`` by a text hash), ``component_id``
+    by its smallest id.
     """
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "prints")
     least = [F.min("doc_id").alias("least"), F.min("shingles").alias("size")]
     classes = written(prints.groupBy("fp").agg(*least), "classes")
-    roots = components(links(classes, max_bits, hot, ratio)).withColumnRenamed("node", "fp")
+    if similar is not None:
+        found = links(classes, max_bits, hot, ratio, crowd, ORDERS)
+        texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+        roots = components(verified(prints, found, texts, similar)).withColumnRenamed("node", "text_hash")
+        own = prints.groupBy("text_hash").agg(F.min("doc_id").alias("least")).join(roots, "text_hash", "left")
+        own = own.withColumn("root", F.coalesce("root", "text_hash"))
+        names = own.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = written(own.join(names, "root").select("text_hash", "root", "component_id"), "named")
+        return prints.join(named, "text_hash").select("doc_id", "text_hash", "fp", "root", "component_id")
+    roots = components(links(classes, max_bits, hot, ratio, crowd)).withColumnRenamed("node", "fp")
     rooted = classes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(names, "root").select("fp", "root", "component_id"), "named")

@@ -123,3 +123,28 @@ def test_deduplicate_keeps_one_row_of_each_group(spark):
     kept = simhash.deduplicate(docs, max_bits=7, ratio=0.8)
     assert kept.columns == docs.columns
     assert sorted(kept.collect(), key=str) == sorted([rows[1], rows[3], rows[5], rows[6]], key=str)
+
+
+def test_links_of_fingerprints_are_only_candidates(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for base in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for k, changes in enumerate((0, 0, 2, 5, 9, 14)):
+            mine = list(words)
+            for at in rng.sample(range(200), changes):
+                mine[at] = "x"
+            rows.append((base * 10 + k, " ".join(mine)))
+    rows += [(1000 + k, rows[0][1] + f" end{k}") for k in range(40)]  # a crowd of one fingerprint or few
+    sets = {i: simhash.shingle_set(t) for i, t in rows}
+    prints = {i: brute_print(t) for i, t in rows}
+    alike = lambda i, j: simhash.similarity(sets[i], sets[j]) >= 0.8
+    want = brute_components({i: i for i in sets}, lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 11 and alike(i, j))
+    loose = brute_components(prints, lambda a, b: bin(a ^ b).count("1") <= 11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (4, 4096):
+        got = simhash.near_duplicates(docs, max_bits=11, ratio=0.8, similar=0.8, crowd=crowd).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+    assert want != loose
+    kept = simhash.deduplicate(docs, max_bits=11, ratio=0.8, similar=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
