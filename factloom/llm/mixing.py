@@ -4,7 +4,9 @@ Method: a naive Bayes classifier is counted from a labelled table (hashed words
 every document its domain posteriors.  Document rates x >= 0 then solve the least squares problem
 sum_k (sum_d tokens_d p_dk x_d - target_k)^2 / share_k by projected gradient from x = 1: each round
 is one distributed sum of the expected token totals and one map x <- max(0, x - p . residual).  With
-the domains' shares as metric the step matrix is row-stochastic, so the unit step is stable.
+the domains' shares as metric the step matrix is row-stochastic, so the unit step is stable.  Where
+the budget grows, rates are held at x >= 1, so that every document stays; totals then settle as near
+to their targets as that allows.
 
 Scale: words are exploded, joined to the broadcast table of ``buckets`` rows (a fixed bound) and
 summed within the task that exploded them; one row a document is shuffled, never a text.  A round
@@ -92,7 +94,8 @@ def rates(
     members: DataFrame, names: list[str], targets: dict[str, float] | None, *, power: float = 0.7,
     grow: bool = False, rounds: int = 40, tolerance: float = 1e-4, cut: int = 6,
 ) -> DataFrame:
-    """``members`` with its rate: projected gradient until every domain total is within tolerance."""
+    """``members`` with its rate: projected gradient until every domain total is within tolerance,
+    or with ``grow`` moves no more."""
     p = [F.col("p")[k] for k in range(len(names))]
     first = members.agg(
         F.sum("tokens").alias("all"), *(F.sum(F.col("tokens") * x).alias(f"a{k}") for k, x in enumerate(p))
@@ -104,6 +107,7 @@ def rates(
     weight = [x / sum(raw) for x in raw]
     budget = max((s / w for s, w in zip(share, weight, strict=True) if w > 0), default=1.0) if grow else 1.0
     target = [w * budget for w in weight]
+    least = 1.0 if grow else 0.0
     state = members.withColumn("rate", F.lit(1.0))
     totals = share
     for n in range(1, rounds + 1):
@@ -111,13 +115,15 @@ def rates(
         if all(abs(t - g) <= tolerance * max(g, 1e-9) for t, g in zip(totals, target, strict=True)):
             break
         step = sum((x * F.lit(r) for x, r in zip(p, off, strict=True)), F.lit(0.0))
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - step))
+        state = state.withColumn("rate", F.greatest(F.lit(least), F.col("rate") - step))
         if n % cut == 0:
             state = written(state, "rates")
         sums = state.agg(
             *(F.sum(F.col("tokens") * x * F.col("rate")).alias(f"a{k}") for k, x in enumerate(p))
         ).first()
-        totals = [x / first["all"] for x in sums]
+        last, totals = totals, [x / first["all"] for x in sums]
+        if grow and all(abs(t - o) <= tolerance / 10 * max(g, 1e-9) for t, o, g in zip(totals, last, target, strict=True)):
+            break
     return state
 
 

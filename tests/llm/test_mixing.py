@@ -94,3 +94,9 @@ def test_growing_mix_and_odd_rows(spark):
     assert len(none) == len(rows) and {r.rate for r in none} == {1.0}
     words = re.compile(r"[^\x20\x09-\x0D]+")
     assert all(r.tokens == len(words.findall(dict((a, b) for a, b, *_ in rows)[r.doc_id] or "")) for r in got)
+
+
+def test_growing_mix_drops_no_document(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    got = mixing.mix(docs, docs.select("doc_id").filter("doc_id % 2 = 0"), grow=True).collect()
+    assert min(r.rate for r in got) >= 1 and min(r.copies for r in got) >= 1
