@@ -15,6 +15,7 @@ often as they occur; null ids pass through; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 
@@ -31,7 +32,7 @@ _ENCODERS: dict[str, object] = {}
 def encoder(path: str):
     """A tokenizer file of byte-level BPE kind as a fast encoder with the same ids.
 
-    Vocabulary ranks are read from the file; strings of special tokens are ordinary text.
+    Vocabulary ranks and added tokens are read from the file.
     """
     if path not in _ENCODERS:
         import public_tokenizers
@@ -39,7 +40,7 @@ def encoder(path: str):
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         # byte-level vocabularies write each byte as a printable character
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in plain}
@@ -50,24 +51,26 @@ def encoder(path: str):
             if token not in special
         }
         _ENCODERS[path] = tiktoken.Encoding(
-            "byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
     return _ENCODERS[path]
 
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048,
-    end_id: int = 0,
+    end_id: int = 0, added: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and its end token, cut only if
     longer than ``seq_len``, the shorter piece first.  ``tokenizer`` is the file's name among the
-    public tokenizers, so that every executor finds its own copy."""
+    public tokenizers, so that every executor finds its own copy.  With ``added`` the strings of the
+    file's added tokens are those tokens, as the tokenizer has it by default; else ordinary text."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
         import public_tokenizers
 
-        encode = encoder(public_tokenizers.path(tokenizer)).encode_ordinary
+        fast = encoder(public_tokenizers.path(tokenizer))
+        encode = functools.partial(fast.encode, allowed_special="all") if added else fast.encode_ordinary
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 rows = []
@@ -136,7 +139,7 @@ def best_fit(
 def pack(
     docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_col: str = "doc_id", text_col: str = "text",
     seq_len: int = 2048, max_docs: int = 512, max_cost: float | None = None, rule: str = "norm",
-    group_size: int = 16384,
+    group_size: int = 16384, added: bool = False,
 ) -> DataFrame:
     """Spans of the packed sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -145,7 +148,7 @@ def pack(
     """
     cost = float(max_cost or seq_len**2)
     pieces = written(
-        token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, seq_len=seq_len).withColumn(
+        token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, seq_len=seq_len, added=added).withColumn(
             "deal", F.monotonically_increasing_id()
         ),
         "pieces",

@@ -55,7 +55,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), added=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

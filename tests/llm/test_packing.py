@@ -77,3 +77,13 @@ def test_best_fit_equals_brute_force_under_every_capacity():
         if rule == "norm":
             want = brute(lengths.tolist(), (100, max_docs, max_cost), (1.0, 0.05, 0.05))
             assert bins.max() + 1 == len(want)
+
+
+def test_added_tokens_are_those_of_the_tokenizer_as_loaded(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(FILE))
+    rows = list(enumerate([*texts(), "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>b  <|endoftext"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.length, r.ids_crc32) for r in packing.token_pieces(docs, FILE, seq_len=1 << 20, added=True).collect()}
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+    assert got == {(i, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, x in ids.items()}
+    assert ids[len(texts())] == [31373, 220, 50256, 995, 0]
