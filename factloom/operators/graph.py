@@ -6,22 +6,23 @@ missing row of ``args`` is an argument that is no known constant.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text
-from .common import closure, saved
+from .common import reached, saved
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, *, rounds: int = 64, backward: bool = False) -> DataFrame:
-    """(bin, func): functions reachable from ``seeds(bin, func)`` (or that reach them), seeds included."""
+def reachable(edges: DataFrame, seeds: DataFrame, *, backward: bool = False, levels: int | None = None) -> DataFrame:
+    """(bin, func): functions reachable from ``seeds(bin, func)`` (or that reach them), seeds included,
+    over any number of calls, or at most ``levels``."""
     source, target = ("callee", "caller") if backward else ("caller", "callee")
-    steps = edges.select("bin", F.col(source).alias("func"), F.col(target).alias("next")).distinct()
-    return closure(
-        seeds.select("bin", "func"), lambda fresh: fresh.join(steps, ["bin", "func"]).select("bin", F.col("next").alias("func")),
-        ["bin", "func"], rounds=rounds,
-    )
+    steps = edges.select("bin", F.col(source).alias("src"), F.col(target).alias("dst"))
+    found = reached(steps, seeds.select("bin", F.col("func").alias("node")), levels=levels)
+    return found.select("bin", F.col("node").alias("func"))
 
 
 def constant_calls(edges: DataFrame, args: DataFrame, positions: dict[str, int] | None = None) -> DataFrame:
@@ -81,14 +82,15 @@ def digest_flags(edges: DataFrame, harmless: DataFrame | None = None, digests: t
 
 def sink_paths(
     edges: DataFrame, args: DataFrame, references: DataFrame, sinks: tuple[str, ...] = params.COMMAND_SINKS, *,
-    digests: tuple[str, ...] = params.DIGESTS, depth: int = 16,
+    digests: tuple[str, ...] = params.DIGESTS,
 ) -> DataFrame:
     """sink_paths: simple call paths from the function of a reference to a sensitive call.
 
     ``references``: bin, param, str_addr, func, ref_addr.  Only calls after the reference count in
     its own function; a harmless call of a sink ends a path without result; no callee occurs twice
     and the start never again.  Edges that cannot come to a sink are cut beforehand by backward
-    reachability, so the frontier holds live paths alone.
+    reachability, so the frontier holds live paths alone.  The search ends when no path is open: as no
+    callee repeats, that is sure, and no length is cut off.
     """
     harmless = saved(harmless_calls(edges, args))
     live_sinks = edges.filter(F.col("callee").isin(*sinks)).join(harmless, ["bin", "call_addr"], "left_anti")
@@ -103,19 +105,40 @@ def sink_paths(
     hop = lambda flag: F.struct(F.col("call_addr").alias("addr"), "callee", F.col(flag).alias("digest"))
     start = references.select("bin", "param", "str_addr", F.col("func").alias("start_func"), "ref_addr").distinct()
     paths = start.join(first.withColumnRenamed("caller", "start_func"), ["bin", "start_func", "ref_addr"]).filter("callee <> start_func")
-    paths = paths.select(*start.columns, F.array(hop("flag")).alias("path"), F.col("callee").alias("at"), "last")
-    done = None
-    for _ in range(depth):
+    paths = paths.select(*start.columns, F.array(hop("flag")).alias("path"), F.array("callee").alias("seen"), F.col("callee").alias("at"), "last")
+    done = []
+    while True:
         paths = saved(paths)
-        ended = paths.filter("last").select(*start.columns, "path")
-        done = ended if done is None else done.unionByName(ended)
+        done.append(paths.filter("last").select(*start.columns, "path"))
         open_paths = paths.filter("NOT last")
-        if not open_paths.limit(1).count():
+        if open_paths.isEmpty():
             break
+        if len(done) == 8:  # one table of what is done, not a branch for each round
+            done = [saved(_union(done))]
         grown = open_paths.drop("last").join(steps.withColumnRenamed("caller", "at"), ["bin", "at"])
-        new = ~F.array_contains(F.transform("path", lambda h: h["callee"]), F.col("callee")) & (F.col("callee") != F.col("start_func"))
-        paths = grown.filter(new).select(*start.columns, F.concat("path", F.array(hop("digest"))).alias("path"), F.col("callee").alias("at"), "last")
-    return done
+        new = ~F.array_contains("seen", F.col("callee")) & (F.col("callee") != F.col("start_func"))
+        paths = grown.filter(new).select(
+            *start.columns, F.concat("path", F.array(hop("digest"))).alias("path"), F.concat("seen", F.array("callee")).alias("seen"),
+            F.col("callee").alias("at"), "last",
+        )
+    return _union(done)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def sink_reachable(edges: DataFrame, args: DataFrame, references: DataFrame, sinks: tuple[str, ...] = params.COMMAND_SINKS) -> DataFrame:
+    """The rows of ``references`` from which some path leads to a sensitive call that is not harmless:
+    backward reachability alone, without listing paths, whose number may grow with every branch."""
+    live = edges.filter(F.col("callee").isin(*sinks)).join(harmless_calls(edges, args), ["bin", "call_addr"], "left_anti")
+    inner = edges.filter(~F.col("caller").isin(*sinks))
+    useful = saved(reachable(inner, live.select("bin", F.col("caller").alias("func")), backward=True))
+    first = edges.join(references.select("bin", F.col("func").alias("caller"), "ref_addr").distinct(), ["bin", "caller"]).filter("call_addr >= ref_addr")
+    direct = first.join(live.select("bin", "call_addr"), ["bin", "call_addr"], "left_semi")
+    onward = first.filter(~F.col("callee").isin(*sinks)).join(useful.withColumnRenamed("func", "callee"), ["bin", "callee"], "left_semi")
+    hit = direct.select("bin", F.col("caller").alias("func"), "ref_addr").union(onward.select("bin", F.col("caller").alias("func"), "ref_addr")).distinct()
+    return references.join(hit, ["bin", "func", "ref_addr"], "left_semi")
 
 
 def formatted(paths: DataFrame, head: Column | None = None) -> DataFrame:
@@ -180,7 +203,7 @@ def cross_unit_paths(edges: DataFrame, args: DataFrame, references: DataFrame, *
 def path_counts(edges: DataFrame, length: int) -> DataFrame:
     """(bin, start, end, paths): exact number of walks of ``length`` calls between functions: sparse
     matrix powers, one equi-join and sum a step."""
-    one = edges.groupBy("bin", F.col("caller").alias("start"), F.col("callee").alias("end")).agg(F.count("*").alias("paths"))
+    one = saved(edges.groupBy("bin", F.col("caller").alias("start"), F.col("callee").alias("end")).agg(F.count("*").alias("paths")))
     walks = one
     step = one.select("bin", F.col("start").alias("end"), F.col("end").alias("to"), F.col("paths").alias("times"))
     for _ in range(length - 1):

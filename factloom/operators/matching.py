@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .common import BROADCAST_BYTES, fits
+from .common import fits, saved
 
 try:
     import ahocorasick
@@ -26,10 +26,10 @@ def contains_pairs(strings: DataFrame, names: DataFrame, *, owner: str = "bin",
 
     ``method``: scan, explode, loop, or auto, which counts the names.
     """
-    names = names.select("name").filter("name <> ''").distinct()
+    names = saved(names.select("name").filter("name <> ''").distinct())  # counted, measured and joined
     rows = strings.select(F.col(owner).alias("owner"), F.col(s).alias("s")).filter("s IS NOT NULL")
     if method == "auto":
-        method = "loop" if names.limit(9).count() < 9 else "scan" if ahocorasick and fits(names, 64) else "explode"
+        method = "loop" if names.limit(9).count() < 9 else "scan" if ahocorasick and fits(names) else "explode"
     if method == "loop":
         found = rows.join(F.broadcast(names), F.contains(F.col("s"), F.col("name"))).select("owner", "name")
     elif method == "explode":
@@ -134,7 +134,8 @@ def by_dual(strings: DataFrame, call_args: DataFrame, keys: DataFrame, dual: str
 def by_binding(contents: DataFrame, bindings: DataFrame, *, owner: str = "bin") -> DataFrame:
     """(owner, port, ip): units whose bytes hold a binding's address text and its port, low byte first."""
     wide = F.upper(F.lpad(F.hex(F.col("port")), 4, "0"))
-    marks = bindings.select("port", "ip", F.unhex(F.concat(F.substring(wide, 3, 2), F.substring(wide, 1, 2))).alias("mark"))
-    both = F.contains(F.col("content"), F.col("ip").cast("binary")) & F.contains(F.col("content"), F.col("mark"))
-    side = F.broadcast(marks) if fits(marks, 64, BROADCAST_BYTES) else marks
-    return contents.join(side, both).select(owner, "port", "ip").distinct()
+    marks = bindings.select("port", "ip", F.unhex(F.concat(F.substring(wide, 3, 2), F.substring(wide, 1, 2))).alias("mark")).distinct()
+    shown = contents.select(owner, F.decode(F.col("content"), "ISO-8859-1").alias("s"))
+    named = contains_pairs(shown, bindings.select(F.col("ip").alias("name")), owner=owner).withColumnRenamed("name", "ip")
+    pairs = contents.select(owner, "content").join(named.join(marks, "ip"), owner)
+    return pairs.filter(F.contains("content", "mark")).select(owner, "port", "ip").distinct()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
+from .common import numbered, saved
 
 
 def border_rank(
@@ -36,6 +37,18 @@ def border_detail(ranks: DataFrame, keyword_matches: DataFrame, api_matches: Dat
     return out
 
 
+def device_rank(matches: DataFrame, urns: DataFrame, files: DataFrame, *, owner: str = "bin", least_keywords: int = params.LEAST_KEYWORDS) -> DataFrame:
+    """(owner, keywords_count, source_files), best first: units by the device names they hold, those that
+    start with ``urn:`` (owner, urn) counted beside the matched ones, with the files these come from."""
+    hits = matches.select(owner, "name").distinct()
+    counted = hits.groupBy(owner).agg(F.count("*").alias("n")).filter(F.col("n") >= least_keywords)
+    more = urns.select(owner, "urn").distinct().groupBy(owner).agg(F.count("*").alias("u"))
+    places = hits.join(files.select("name", "path").distinct(), "name").select(owner, "path").distinct().groupBy(owner).agg(F.count("*").alias("f"))
+    rows = counted.join(more, owner, "left").join(places, owner, "left")
+    total = F.col("n") + F.coalesce("u", F.lit(0))
+    return rows.select(owner, total.alias("keywords_count"), F.coalesce("f", F.lit(0)).alias("source_files")).orderBy(F.desc("keywords_count"), owner)
+
+
 def parsing_scores(stats: DataFrame, *, owner: str = "bin") -> DataFrame:
     """(owner, score): the best weighted count of a unit's functions.
 
@@ -65,8 +78,12 @@ def first_cluster(scores: DataFrame, *, owner: str = "bin", score: str = "score"
     below = scores.filter(F.col(score) <= last).groupBy(F.floor((last - F.col(score)) / gap).alias("bucket")).agg(
         F.min(score).alias("low"), F.max(score).alias("high")
     )
-    apart = F.lag("low").over(Window.orderBy("bucket")) - F.col("high") > gap
-    cut = below.select("high", apart.alias("apart")).filter("apart").agg(F.max("high")).first()[0]
+    below = saved(below)
+    # what is near a bucket lies one bucket up, or two where a quotient was rounded
+    near = below.select(F.explode(F.array(F.col("bucket") + 1, F.col("bucket") + 2)).alias("bucket"), F.col("low").alias("above"))
+    near = near.groupBy("bucket").agg(F.min("above").alias("above"))
+    apart = F.coalesce(F.col("above") - F.col("high") > gap, F.lit(True)) & (F.col("bucket") > 0)
+    cut = below.join(near, "bucket", "left").filter(apart).agg(F.max("high")).first()[0]
     found = scores.select(owner, score)
     return found if cut is None else found.filter(F.col(score) > cut)
 
@@ -80,7 +97,7 @@ def named_top(counts: DataFrame, *, name: str = "name", count: str = "n", top: i
 def server_names(names: DataFrame, *, name: str = "name", pattern: str = "(cgi|httpd|upnp|boa)") -> DataFrame:
     """(number, name): names that look like servers, numbered in order."""
     hits = names.filter(F.col(name).rlike(pattern)).select(name).distinct()
-    return hits.select(F.row_number().over(Window.orderBy(name)).cast("bigint").alias("number"), name)
+    return numbered(hits, [name]).select("number", name)
 
 
 def coverage(base: DataFrame, target: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from .common import closure
+from .common import reached
 
 
 def call_flows(calls: DataFrame, args: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -50,6 +50,11 @@ def sanitized(calls: DataFrame, args: DataFrame, summaries: DataFrame, seeds: Da
     known = calls.join(summaries.filter("effect = 'sanitize'").withColumnRenamed("fn", "callee"), "callee")
     a = args.select("bin", "call_addr", F.col("pos").alias("src_pos"), F.col("var").alias("var"))
     b = args.select("bin", "call_addr", F.col("pos").alias("dst_pos"), F.col("var").alias("other"))
+    # a comparison of so many bytes bounds nothing if the input sets their number
+    sizes = F.create_map(*(F.lit(x) for pair in params.SIZED_COMPARISONS.items() for x in pair))[F.col("callee")]
+    lengths = args.join(seeds.select("bin", "var").distinct(), ["bin", "var"], "left_semi").select("bin", "call_addr", "pos")
+    loose = known.select("bin", "call_addr", sizes.alias("pos")).join(lengths, ["bin", "call_addr", "pos"], "left_semi")
+    known = known.join(loose.select("bin", "call_addr"), ["bin", "call_addr"], "left_anti")
     both = known.join(a, ["bin", "call_addr", "src_pos"]).join(b, ["bin", "call_addr", "dst_pos"])
     single = both.filter("src_pos = dst_pos").select("bin", "var")
     seed = seeds.select("bin", F.col("var").alias("seed"))
@@ -73,29 +78,24 @@ def bounded(guards: DataFrame, seeds: DataFrame) -> DataFrame:
     return free.join(seeds.select("bin", "var"), ["bin", "var"], "left_semi").select("bin", "var").distinct()
 
 
-def tainted(flows: DataFrame, seeds: DataFrame, clean: DataFrame | None = None, *, depth: int | None = None, rounds: int = 64) -> DataFrame:
+def tainted(flows: DataFrame, seeds: DataFrame, clean: DataFrame | None = None, *, depth: int | None = None) -> DataFrame:
     """(bin, var, depth): variables that taint reaches; ``clean(bin, var)`` neither hold nor pass it on.
 
-    Semi-naive: a round joins the new variables alone; ``depth`` bounds how many flows are followed.
+    ``depth`` bounds how many flows are followed; without it every flow is, however long the chain.
     """
-    edges = flows.select("bin", "src", "dst").distinct()
-    start = seeds.select("bin", "var").distinct()
+    edges = flows.select("bin", "src", "dst")
+    start = seeds.select("bin", F.col("var").alias("node"))
     if clean is not None:
         gone = clean.select("bin", "var").distinct()
         edges = edges.join(gone.withColumnRenamed("var", "dst"), ["bin", "dst"], "left_anti")
-        start = start.join(gone, ["bin", "var"], "left_anti")
-    edges = edges.withColumnRenamed("src", "var")
+        start = start.join(gone.withColumnRenamed("var", "node"), ["bin", "node"], "left_anti")
+    return reached(edges, start, levels=depth).select("bin", F.col("node").alias("var"), "depth")
 
-    def step(fresh: DataFrame) -> DataFrame:
-        return fresh.join(edges, ["bin", "var"]).select("bin", F.col("dst").alias("var"), (F.col("depth") + 1).alias("depth"))
 
-    return closure(start.withColumn("depth", F.lit(0)), step, ["bin", "var"], rounds=rounds if depth is None else depth)
-
-
-def dependents(links: DataFrame, cleaned: DataFrame, rounds: int = 64) -> DataFrame:
+def dependents(links: DataFrame, cleaned: DataFrame) -> DataFrame:
     """(bin, var): what is untainted with its masters: the closure of ``links(bin, master, slave)``."""
-    by = links.select("bin", F.col("master").alias("var"), "slave")
-    return closure(cleaned.select("bin", "var"), lambda f: f.join(by, ["bin", "var"]).select("bin", F.col("slave").alias("var")), ["bin", "var"], rounds=rounds)
+    steps = links.select("bin", F.col("master").alias("src"), F.col("slave").alias("dst"))
+    return reached(steps, cleaned.select("bin", F.col("var").alias("node"))).select("bin", F.col("node").alias("var"))
 
 
 def followed_calls(calls: DataFrame, depth: int = params.CALL_DEPTH) -> DataFrame:
@@ -111,6 +111,51 @@ def followed_calls(calls: DataFrame, depth: int = params.CALL_DEPTH) -> DataFram
     return calls.withColumn("follow", rule)
 
 
+def unguided_flows(calls: DataFrame, args: DataFrame, traces: DataFrame, uses_result: DataFrame) -> DataFrame:
+    """flows of internal calls off the recorded trace, which are not entered: what goes in comes out.
+
+    Where the caller uses the result (``uses_result``: bin, call_addr) every argument flows into it
+    (pos -1); where it does not, into every argument that can be written.  ``calls``: bin, call_addr,
+    block, external; ``args``: bin, call_addr, pos, var, writable; ``traces``: bin, block.
+    """
+    off = calls.filter("NOT external").join(traces.select("bin", "block").distinct(), ["bin", "block"], "left_anti").select("bin", "call_addr")
+    used = uses_result.select("bin", "call_addr").distinct().withColumn("used", F.lit(True))
+    off = off.join(used, ["bin", "call_addr"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
+    ins = off.join(args.filter("pos >= 0"), ["bin", "call_addr"]).select("bin", "call_addr", "used", F.col("var").alias("src"))
+    outs = args.select("bin", "call_addr", F.col("var").alias("dst"), (F.col("pos") == -1).alias("used"), ((F.col("pos") == -1) | F.col("writable")).alias("open"))
+    moved = ins.join(outs.filter("open").drop("open"), ["bin", "call_addr", "used"])
+    return moved.filter("src <> dst").select("bin", "src", "dst").distinct()
+
+
+def pointing(taints: DataFrame, points_to: DataFrame) -> DataFrame:
+    """(bin, var): tainted variables and those that point to one (``points_to``: bin, var, target)."""
+    known = taints.select("bin", "var").distinct()
+    over = points_to.join(known.withColumnRenamed("var", "target"), ["bin", "target"], "left_semi").select("bin", "var")
+    return known.union(over).distinct()
+
+
+def tainted_callers(calls: DataFrame, args: DataFrame, taints: DataFrame, points_to: DataFrame | None = None) -> DataFrame:
+    """(bin, func, call_addr, pos): calls that get tainted data, or a pointer to it, and where.
+
+    ``calls``: bin, func, call_addr; taint is followed without sanitizers, to see where a key leads."""
+    known = taints.select("bin", "var").distinct() if points_to is None else pointing(taints, points_to)
+    passed = args.filter("pos >= 0").join(known, ["bin", "var"], "left_semi").select("bin", "call_addr", "pos")
+    return calls.select("bin", "func", "call_addr").join(passed, ["bin", "call_addr"]).select("bin", "func", "call_addr", "pos").distinct()
+
+
+def directives(calls: DataFrame, constants: DataFrame) -> DataFrame:
+    """(bin, call_addr, n): how many arguments the known format string of a call takes.
+
+    ``constants``: bin, call_addr, pos, const_str."""
+    kinds = F.create_map(*(F.lit(x) for name, (pos, _) in params.DIRECTIVES.items() for x in (name, pos)))[F.col("callee")]
+    rows = calls.select("bin", "call_addr", "callee", kinds.alias("pos")).filter("pos IS NOT NULL").join(constants.filter("const_str IS NOT NULL"), ["bin", "call_addr", "pos"])
+    counts = None
+    for name, (_, patterns) in params.DIRECTIVES.items():
+        n = sum((F.regexp_count("const_str", F.lit(p)) for p in patterns), F.lit(0))
+        counts = F.when(F.col("callee") == name, n) if counts is None else counts.when(F.col("callee") == name, n)
+    return rows.select("bin", "call_addr", counts.alias("n")).distinct()
+
+
 def guided(calls: DataFrame, traces: DataFrame) -> DataFrame:
     """Calls made from a block of the recorded trace (``traces``: bin, block): only these are entered."""
     return calls.join(traces.select("bin", "block").distinct(), ["bin", "block"], "left_semi")
@@ -118,18 +163,25 @@ def guided(calls: DataFrame, traces: DataFrame) -> DataFrame:
 
 def alerts(
     calls: DataFrame, args: DataFrame, taints: DataFrame, sinks: DataFrame, *, classes: tuple[str, ...] = ("command", "overflow"),
-    allowed: DataFrame | None = None,
+    allowed: DataFrame | None = None, points_to: DataFrame | None = None, formats: DataFrame | None = None,
 ) -> DataFrame:
     """(bin, call_addr, callee, class, pos): calls of sinks with a tainted argument in a checked position.
 
     ``sinks``: name, class, arg_positions (-1: every later one too); ``allowed(bin, call_addr)``
-    restricts to recorded sink addresses.
+    restricts to recorded sink addresses; with ``points_to`` an argument counts whose pointee is tainted;
+    ``formats(bin, call_addr, n)`` bounds the later positions to as many as the format takes.
     """
     rows = calls if allowed is None else calls.join(allowed, ["bin", "call_addr"], "left_semi")
+    known = taints.select("bin", "var").distinct() if points_to is None else pointing(taints, points_to)
     table = sinks.filter(F.col("class").isin(*classes)).withColumnRenamed("name", "callee")
-    hits = rows.join(table, "callee").join(args, ["bin", "call_addr"]).join(taints.select("bin", "var").distinct(), ["bin", "var"])
+    hits = rows.join(table, "callee").join(args, ["bin", "call_addr"]).join(known, ["bin", "var"])
     later = F.array_contains("arg_positions", F.lit(-1)) & (F.col("pos") >= F.array_max("arg_positions"))
-    return hits.filter(F.array_contains("arg_positions", F.col("pos")) | later).select("bin", "call_addr", "callee", "class", "pos").distinct()
+    exact = F.array_contains("arg_positions", F.col("pos"))
+    if formats is not None:
+        hits = hits.join(formats.select("bin", "call_addr", "n"), ["bin", "call_addr"], "left")
+        taken = F.col("n").isNull() | ~F.array_contains("arg_positions", F.lit(-1)) | (F.col("pos") < F.array_max("arg_positions") + F.col("n"))
+        later, exact = later & taken, exact & taken
+    return hits.filter(exact | later).select("bin", "call_addr", "callee", "class", "pos").distinct()
 
 
 def loop_alerts(jumps: DataFrame, taints: DataFrame) -> DataFrame:
@@ -159,8 +211,9 @@ def limited_jumps(jumps: DataFrame, most: int = params.BACK_JUMPS) -> DataFrame:
 
 
 def surrogate_addresses(symbols: DataFrame, name: str = "symbol") -> DataFrame:
-    """One address for each symbol name: the same name always gets the same one."""
-    return symbols.withColumn("address", F.xxhash64(name).bitwiseAND(F.lit((1 << 31) - 1)) * 4096)
+    """One address for each symbol name: the same name always gets the same one; all 64 bits of its hash
+    are kept, so that names do not meet and merge their taint."""
+    return symbols.withColumn("address", F.xxhash64(name))
 
 
 def table_of(spark, kind: str) -> DataFrame:

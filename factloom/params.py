@@ -73,6 +73,32 @@ CHANNELS = (
 STRING_CHARS = r"0-9A-Za-z_/\-"
 STRING_CHARS_EXTENDED = r"0-9A-Za-z_/\-%,.;+=)(*&^$#@!~`?|<>{}\[\] \""
 STRING_LEAST, STRING_WINDOW = 3, 255
+#: Configuration names whose presence in units is counted.
+GLOBAL_NAMES = """
+WPAPSK2 SSID1 wan_wan2_gateway remotemange_iprange DDNSAccount wan_wan2_mtu wan_wan0_pppoe_autoreconn wan_wan_ifnames
+vlan_lan_dev1_service_mapping vlan_lan_dev4_service_mapping url_filter_mode wan_wan2_vlanidpri lan0_ipv6_ipaddr
+SysLogMail_SMTPServerPort wan_iptv_vlanid lan0_ipv6_route_lifetime QosManagementType lan0_domain wan_iptv_vlanidpri
+wan_wan1_vlanidpri wan_wan0_pppoe_username DDNSProvider lan1_netmask wan_wan0_pppoe_service FTP_Idletime
+wan_wan0_vpn_username SysLogRemote_IPAddress lan0_management_link wan_wan0_vpn_idletime lan1_ipaddr wan_wan3_vpn_dns
+mask_flag ntp_server wan_wan2_hostname firewall_ipv6_filter_rule wan_wan1_vlanid wan_wan0_vpn_client quickVPN_Password
+lan1_dhcps_start lan0_dhcps_start wifi24RootScheduleName portforward_rule vlan_wlan_service_mapping wifi58RootScheduleName
+SysLogMail_Auth_Password lan0_ipv6_dhcp_start wan_wan0_ifname vlan_lan_dev3_service_mapping Static_Arp_Number DDNSTimeout
+wan_wan0_vlanid DDNS wan_wan0_vpn_netmask wan_wan3_clone_mac UploadBandwidth wan_wan2_netmask lan0_ipv6_autoconf_type
+wan_wan2_vpn_dns wan_voip_vlanid wan_wan0_ipaddr time_TZ_location wan_wan2_vpn_netmask wan_wan0_vpn_mtu wan_wan3_vpn_netmask
+mac_filter_rule quickVPN_Username wan_wan0_vpn_gateway wan_wan3_dns DownloadBandwidth FTP_Port wan_wan3_vpn_gateway
+lan0_port_member wan_wan2_vpn_gateway wan_wan0_vpn_passwd lan1_port_member lan2_port_member fota_time_minute lan1_dhcps_end
+wan_wan2_dns lan3_port_member virtualserver_rule dmz_ipaddr SysLogMail_Auth_Name Arp_Static_Item lan0_dhcps_staticlist
+WorkMode wan_wan2_vpn_client url_filter_rule wan_wan3_netmask firewall_filter_rule wan_wan3_ifname
+vlan_lan_dev2_service_mapping wan_wan0_dns wan_wan0_pppoe_passwd wan_wan1_ifname wan_wan3_device_vendor_class
+wan_wan3_ipaddr lan0_dhcps_lease remotemange_port fota_time_hour wan_wan0_hostname wan_wan2_device_vendor_class
+wan_wan3_vpn_client quickVPN_MPPE lan0_dhcps_end lan1_dhcps_lease wan_wan0_pppoe_auth wan_wan3_vlanid
+wan_wan0_pppoe_idletime lan0_ipaddr ISPName SysLogMail_Schedule_Name wan_wan2_vlanid quickVPN_PSK wifi58Vap1ScheduleName
+wan_wan0_vpn_autoreconn SysLogMail_To remotemange_https_port lan0_ipv6_dhcp_end device_name wan_wan3_gateway
+quickVPN_AuthProtocol wan_wan0_vlanidpri Password wan_wan0_vpn_dns DDNSPassword http_passwd lan0_netmask wan_wan3_vlanidpri
+wan_wan2_ifname vlan_wlan_guest_service_mapping wan_wan0_pppoe_mtu sys_reboot_schedule wan_wan3_mtu wan_wan2_ipaddr
+wan_voip_vlanidpri SysLogMail_SMTPServerAddress lan0_ipv6_dhcp_lifetime wan_wan2_clone_mac wan_wan3_hostname
+wan_wan0_vpn_server SysLogMail_From
+""".split()
 #: Weights of blocks, branches and comparisons in a parsing score, and its two factors.
 SCORE_WEIGHTS, SCORE_CHECKED, SCORE_MARK = (0.5, 0.4, 0.7), 2.0, 5.0
 #: A size that no analysis could bound, and what counts as suspiciously big.
@@ -85,8 +111,12 @@ TAINT_SINKS = (
     ("system", "command", (0,)), ("___system", "command", (0,)), ("bstar_system", "command", (0,)), ("popen", "command", (0,)),
     ("twsystem", "command", (0,)), ("CsteSystem", "command", (0,)), ("execve", "command", (0, 1)),
     ("doSystemCmd", "command", (1, -1)), ("strcpy", "overflow", (1,)), ("memcpy", "overflow", (2,)),
-    ("sprintf", "overflow", (2, -1)),
+    ("sprintf", "overflow", (2, -1)), ("fwrite", "write", (0,)),
 )
+#: Format argument of sinks with later arguments, and the patterns whose occurrences count these.
+DIRECTIVES = {"doSystemCmd": (0, ("%",)), "sprintf": (1, ("%s", "%d"))}
+#: Comparisons of so many bytes: the argument that holds their number.
+SIZED_COMPARISONS = {"strncmp": 2, "strncasecmp": 2, "memcmp": 2}
 #: What known functions do to taint: (name, effect, source position, destination position); -1: the result,
 #: or as a source every variadic argument.
 SUMMARIES = (

@@ -54,26 +54,41 @@ def border_binaries(tree: DataFrame, *, top: int = params.TOP_BINARIES, least_ke
     )
 
 
-def keyword_paths(edges: DataFrame, args: DataFrame, references: DataFrame, names: DataFrame, functions: DataFrame, *, sinks: tuple[str, ...] = params.COMMAND_SINKS, depth: int = 16) -> DataFrame:
+def keyword_paths(edges: DataFrame, args: DataFrame, references: DataFrame, names: DataFrame, functions: DataFrame, *, sinks: tuple[str, ...] = params.COMMAND_SINKS) -> DataFrame:
     """Paths from keyword references to sensitive calls, with one round of parameters found in the
     functions that led to one.  ``references``: bin, param, str_addr, func, ref_addr."""
     wanted = references.join(names.select(F.col("name").alias("param")).distinct(), "param", "left_semi")
-    paths = saved(graph.sink_paths(edges, args, wanted, sinks, depth=depth))
+    paths = saved(graph.sink_paths(edges, args, wanted, sinks))
     sources = paths.select("bin", F.col("start_func").alias("func")).distinct()
     fresh = graph.new_parameters(edges, args, names).join(sources, ["bin", "func"], "left_semi")
     again = references.withColumnRenamed("param", "name").join(fresh, ["bin", "func", "name"], "left_semi").withColumnRenamed("name", "param")
-    return paths.unionByName(graph.sink_paths(edges, args, again.select(*references.columns), sinks, depth=depth)).distinct()
+    return paths.unionByName(graph.sink_paths(edges, args, again.select(*references.columns), sinks)).distinct()
 
 
-def confirmed(paths: DataFrame, calls: DataFrame, args: DataFrame, flows: DataFrame, seeds: DataFrame, *, classes: tuple[str, ...] = ("command", "overflow")) -> DataFrame:
+def confirmed(
+    paths: DataFrame, calls: DataFrame, args: DataFrame, flows: DataFrame, seeds: DataFrame, *, classes: tuple[str, ...] = ("command", "overflow"),
+    constants: DataFrame | None = None, keys: DataFrame | None = None, guards: DataFrame | None = None, points_to: DataFrame | None = None,
+    traces: DataFrame | None = None, uses_result: DataFrame | None = None,
+) -> DataFrame:
     """Alerts of sinks on recorded paths that taint from the referenced keyword reaches.
 
-    ``calls``: bin, call_addr, callee; ``args``: bin, call_addr, pos, var; ``seeds``: bin, var.
+    ``calls``: bin, call_addr, callee (and block, external with ``traces``); ``args``: bin, call_addr, pos,
+    var (and writable); ``seeds``: bin, var.  Optional facts sharpen the rules: ``constants`` the formats'
+    arguments, ``keys`` stores under keys, ``guards`` comparisons, ``points_to`` pointers, ``traces`` with
+    ``uses_result`` the calls off the trace.
     """
     spark = paths.sparkSession
     kept = paths.filter(reports.kept_parameter(F.col("param")))
     allowed = kept.select("bin", F.element_at("path", -1)["addr"].alias("call_addr")).distinct()
     summaries = taint.table_of(spark, "summaries")
-    moves = flows.select("bin", "src", "dst").union(taint.call_flows(calls, args, summaries)).distinct()
-    reached = taint.tainted(moves, seeds, taint.sanitized(calls, args, summaries, seeds))
-    return taint.alerts(calls, args, reached, taint.table_of(spark, "sinks"), classes=classes, allowed=allowed)
+    moves = flows.select("bin", "src", "dst").union(taint.call_flows(calls, args, summaries))
+    if keys is not None:
+        moves = moves.union(taint.keyed_flows(calls, args, keys, summaries))
+    if traces is not None and uses_result is not None:
+        moves = moves.union(taint.unguided_flows(calls, args, traces, uses_result))
+    clean = taint.sanitized(calls, args, summaries, seeds)
+    if guards is not None:
+        clean = clean.union(taint.bounded(guards, seeds))
+    reached = taint.tainted(moves, seeds, clean)
+    formats = None if constants is None else taint.directives(calls, constants)
+    return taint.alerts(calls, args, reached, taint.table_of(spark, "sinks"), classes=classes, allowed=allowed, points_to=points_to, formats=formats)

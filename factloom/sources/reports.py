@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,50 +64,136 @@ def case_lines(cases: DataFrame) -> DataFrame:
     return cases.select(F.concat_ws("\n", head, line("trace"), line("sinks")).alias("value"))
 
 
+def _lined(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, line): the lines of every file, numbered in the tasks that read them."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("number", "line"))
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """taint_cases of a file of three-line records; a file is read by one task, line order matters."""
-    raw = spark.read.text(path, wholetext=True)
+    """taint_cases of files of three-line records.  A record whose lines are no numbers, or whose first
+    line has not two of them, is an error: none is passed over."""
+    rows = _lined(spark, path).withColumn("n", F.transform(F.filter(F.split("line", r"\s+"), lambda x: x != ""), _number))
+    rows = rows.withColumn("record", F.floor(F.col("number") / 3)).withColumn("part", F.col("number") % 3)
+    part = lambda k: F.max(F.when(F.col("part") == k, F.col("n")))
+    whole = rows.groupBy("file", "record").agg(part(0).alias("head"), part(1).alias("trace"), part(2).alias("sinks"), F.bool_and(F.col("line") == "").alias("blank"))
+    bad = F.col("head").isNull() | (F.size("head") != 2) | F.col("sinks").isNull()
+    checked = F.when(bad | F.exists(F.concat("head", "trace", "sinks"), lambda x: x.isNull()), F.raise_error(F.concat(F.lit("no case in "), "file", F.lit(", record "), F.col("record").cast("string"))).cast("array<bigint>")).otherwise(F.col("head"))
+    return whole.filter("NOT blank").withColumn("head", checked).select(F.col("head")[0].alias("str_addr"), F.col("head")[1].alias("ref_addr"), "trace", "sinks")
 
-    def scan(batches):
-        for batch in batches:
-            for content in batch["value"]:
-                lines = [[int(x, 0) for x in line.split()] for line in content.split("\n")]
-                rows = [(a[0], a[1], b, c) for a, b, c in zip(lines[::3], lines[1::3], lines[2::3]) if len(a) == 2]
-                yield pd.DataFrame(rows, columns=["str_addr", "ref_addr", "trace", "sinks"])
 
-    return raw.mapInPandas(scan, "str_addr bigint, ref_addr bigint, trace array<bigint>, sinks array<bigint>")
+def _number(token: Column) -> Column:
+    """A decimal or ``0x`` number, null if it is none."""
+    return F.when(token.rlike("^0x[0-9a-fA-F]+$"), text.address(token)).otherwise(token.try_cast("bigint"))
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """(name, path, counts) of the older 14-line cluster report: a line ``label : value`` each."""
-    raw = spark.read.text(path, wholetext=True)
+    """(name, fields map) of the older cluster report: records of 14 lines ``label : value``; the first
+    value names the unit."""
+    rows = _lined(spark, path).filter("line LIKE '%:%'")
+    pair = F.split("line", r"\s*:\s*", 2)
+    rows = rows.select("file", F.floor(F.col("number") / 14).alias("record"), "number", F.trim(pair[0]).alias("label"), F.trim(pair[1]).alias("content"))
+    whole = rows.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("number", "label", "content"))).alias("lines"))
+    return whole.select(
+        F.col("lines")[0]["content"].alias("name"),
+        F.map_from_entries(F.transform("lines", lambda x: F.struct(x["label"], x["content"]))).alias("fields"),
+    )
 
-    def scan(batches):
-        for batch in batches:
-            for content in batch["value"]:
-                lines = content.split("\n")
-                rows = []
-                for at in range(0, len(lines) - 13, 14):
-                    fields = dict(re.split(r"\s*:\s*", x, maxsplit=1) for x in lines[at : at + 14] if ":" in x)
-                    rows.append((next(iter(fields.values()), None), {k.strip(): v.strip() for k, v in fields.items()}))
-                yield pd.DataFrame(rows, columns=["name", "fields"])
 
-    return raw.mapInPandas(scan, "name string, fields map<string, string>")
+def write_table(df: DataFrame, path: str, order: list[str]) -> None:
+    """Parquet in a total order, so that files read one after the other are sorted."""
+    df.orderBy(*order).write.mode("overwrite").parquet(path)
 
 
-def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
+    """The text column ``value`` in a total order."""
+    lines.orderBy(*order).select("value").write.mode("overwrite").text(path)
 
 
 def write_reports(
     path: str, *, keywords: DataFrame, apis: DataFrame, matches: DataFrame, ranks: DataFrame, removed: DataFrame,
-    occurrences: DataFrame, totals: DataFrame,
+    occurrences: DataFrame, totals: DataFrame, skipped: DataFrame | None = None, splits: DataFrame | None = None,
 ) -> None:
-    """The tables of one front-end run: details, names alone, matches by binary, ranks, files, removals, totals."""
-    for name, table in (("keyword_detail", keywords), ("api_detail", apis), ("removed", removed), ("file_detail", occurrences), ("border_rank", ranks), ("info", totals)):
-        write_table(table, f"{path}/{name}")
-    write_table(keywords.select("name").distinct(), f"{path}/keyword_simple")
-    write_table(apis.select("name").distinct(), f"{path}/api_simple")
-    write_table(matches.groupBy("bin").agg(F.array_join(F.array_sort(F.collect_set("match_str")), " ").alias("matched")), f"{path}/matched")
-    write_table(matches.filter("full_str IS NOT NULL").select("bin", "match_str", "full_str").distinct(), f"{path}/path_strings")
+    """The tables of one front-end run: details, names alone, matches by binary, ranks, files, removals,
+    totals, strings taken over, and where given the scripts left out and the split API names."""
+    for name, table, order in (
+        ("keyword_detail", keywords, ["name"]), ("api_detail", apis, ["name"]), ("removed", removed, ["name"]),
+        ("file_detail", occurrences, ["path"]), ("border_rank", ranks, ["keywords_count"]),
+    ):
+        write_table(table, f"{path}/{name}", order)
+    write_table(keywords.select("name").distinct(), f"{path}/keyword_simple", ["name"])
+    write_table(apis.select("name").distinct(), f"{path}/api_simple", ["name"])
+    matched = matches.groupBy("bin").agg(F.array_join(F.array_sort(F.collect_set("match_str")), " ").alias("matched"))
+    write_table(matched, f"{path}/matched", ["bin"])
+    taken = matches.filter("full_str IS NOT NULL").select("bin", "match_str", "full_str").distinct()
+    write_table(taken, f"{path}/path_strings", ["bin", "match_str", "full_str"])
+    write_lines(info_lines(totals), f"{path}/info", ["place"])
+    if skipped is not None:
+        write_lines(skipped_lines(skipped), f"{path}/skipped_scripts", ["name", "path"])
+    if splits is not None:
+        write_lines(split_lines(splits), f"{path}/api_split", ["api"])
+
+
+def info_lines(totals: DataFrame, seconds: dict[str, float] | None = None) -> DataFrame:
+    """(place, value): the seconds of each step, then every total of a one-row table, a line each."""
+    spent = [F.struct(F.lit(k).alias("place"), F.lit(f"{name} Elapsed Time: {s:.3f}S").alias("value")) for k, (name, s) in enumerate((seconds or {}).items())]
+    counts = [
+        F.struct(F.lit(len(spent) + k).alias("place"), F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("0"))).alias("value"))
+        for k, c in enumerate(totals.columns)
+    ]
+    return totals.select(F.explode(F.array(*spent, *counts)).alias("x")).select("x.place", "x.value")
+
+
+def skipped_lines(scripts: DataFrame) -> DataFrame:
+    """(name, path, value) of scripts that are not analysed (name, path, pages array<string>)."""
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("FileName: "), "name"), F.concat(F.lit("Cited: "), F.size("pages").cast("string")), F.concat(F.lit("FilePath: "), "path"),
+        F.lit("Referenced file : "), F.array_join(F.transform(F.array_sort("pages"), lambda p: F.concat(F.lit("\t"), p)), "\n"), F.lit(""),
+    )
+    return scripts.select("name", "path", lines.alias("value"))
+
+
+def split_lines(splits: DataFrame) -> DataFrame:
+    """(api, value) of split API names (api, match_strs, actions, keywords: arrays of strings)."""
+    joined = lambda c: F.array_join(F.array_sort(c), " ")
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("API Name: "), "api"), F.concat(F.lit("from bin match: "), joined("match_strs")),
+        F.concat(F.lit("Action: "), joined("actions")), F.concat(F.lit("Keyword: "), joined("keywords")), F.lit(""),
+    )
+    return splits.select("api", lines.alias("value"))
+
+
+def device_lines(ranks: DataFrame, names: DataFrame, *, owner: str = "bin") -> DataFrame:
+    """(owner, value): the device report of ranked units (owner, keywords_count, source_files) with their
+    names (owner, name)."""
+    held = names.select(owner, "name").distinct().groupBy(owner).agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("held"))
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("Program name : "), owner), F.lit("Upnp Para: "), F.concat(F.lit("\tHits Para count: "), F.col("keywords_count").cast("string")),
+        F.lit("\tHits Para : "), F.concat(F.lit("\t\t"), F.coalesce("held", F.lit(""))),
+        F.concat(F.lit("\tNumber of UPnp Para source files: "), F.col("source_files").cast("string")), F.lit(""),
+    )
+    return ranks.join(held, owner, "left").select(owner, lines.alias("value"))
+
+
+def verdict_lines(cases: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(str_addr, ref_addr, value): for each case whether taint came to one of its sinks, and which.
+
+    ``cases``: str_addr, ref_addr, sinks; ``alerts``: str_addr, ref_addr, call_addr."""
+    hits = cases.select("str_addr", "ref_addr", F.explode("sinks").alias("call_addr")).join(alerts.select("str_addr", "ref_addr", "call_addr").distinct(), ["str_addr", "ref_addr", "call_addr"], "left_semi")
+    found = hits.distinct().groupBy("str_addr", "ref_addr").agg(F.array_join(F.transform(F.array_sort(F.collect_list("call_addr")), text.hex_address), " ").alias("at"))
+    head = F.concat(text.hex_address(F.col("str_addr")), F.lit(" "), text.hex_address(F.col("ref_addr")), F.lit("   "))
+    rows = cases.select("str_addr", "ref_addr").distinct().join(found, ["str_addr", "ref_addr"], "left")
+    return rows.select("str_addr", "ref_addr", F.concat(head, F.coalesce(F.concat(F.lit("found : "), "at"), F.lit("not found"))).alias("value"))
+
+
+def verdict_totals(verdicts: DataFrame) -> DataFrame:
+    """One row: cases and found cases."""
+    return verdicts.agg(F.count("*").alias("cases"), F.count_if(F.contains("value", F.lit("   found"))).alias("found"))
+
+
+def search_counters(paths: DataFrame) -> DataFrame:
+    """(bin, paths, parameters, functions, sinks): the counters of a path search's result."""
+    return paths.groupBy("bin").agg(
+        F.count("*").alias("paths"), F.countDistinct("param").alias("parameters"), F.countDistinct("start_func").alias("functions"),
+        F.countDistinct(F.element_at("path", -1)["addr"]).alias("sinks"),
+    )

@@ -1,12 +1,14 @@
 """Matching, ranking, graphs, units and taint against hand-computed cases and brute force."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factloom import params
-from factloom.operators import graph, matching, ranges, ranking, stats, taint, units
+from factloom.operators import common, graph, matching, ranges, ranking, stats, taint, units
 from factloom.plans import lifecycle
 
 
@@ -76,32 +78,21 @@ def test_first_cluster(spark, scores, want):
     assert sorted((r.score for r in ranking.first_cluster(df).collect()), reverse=True) == want
 
 
-def first_run_of_labels(scores, gap=0.5, core=5):
-    """Density clustering on signed differences (what follows is near whatever its distance), then the
-    first run of one label, highest score first."""
-    s = sorted(scores, reverse=True)
-    near = [[j for j in range(len(s)) if s[i] - s[j] <= gap] for i in range(len(s))]
-    label, now = [-1] * len(s), 0
-    for i in range(len(s)):
-        if label[i] != -1 or len(near[i]) < core:
-            continue
-        label[i], stack = now, list(near[i])
-        while stack:
-            j = stack.pop()
-            if label[j] == -1:
-                label[j] = now
-                if len(near[j]) >= core:
-                    stack += near[j]
-        now += 1
-    runs, old = [[]], 0
-    for score, x in zip(s, label):
-        if x != old:
-            runs.append([])
-        runs[-1].append(score)
-        old = x
-    if not runs[0]:
-        runs = [r for r in runs if r]
-    return s[:1] if all(x == -1 for x in label) else runs[0]
+def first_density_cluster(scores, gap=0.5, core=5):
+    """By definition: scores joined by chains of core members, where a score's neighbourhood is every score
+    not lower than itself less ``gap``.  Of equal neighbouring clusters from the top the first one counts;
+    with no core member there is none, and the best score stands alone."""
+    s = np.sort(np.array(scores))[::-1]
+    near = s[:, None] - s[None, :] <= gap  # [i, j]: j is in the neighbourhood of i
+    cores = near.sum(axis=1) >= core
+    if not cores.any():
+        return s[:1].tolist()
+    member = np.zeros(len(s), dtype=bool)
+    member[np.argmax(cores)] = True
+    while (grown := member | (near & (member & cores)[:, None]).any(axis=0)).sum() > member.sum():
+        member = grown
+    out = [float(x) for x, _ in itertools.takewhile(lambda p: p[1], zip(s, member, strict=True))]
+    return out or s[member].tolist()
 
 
 def test_first_run_needs_no_clustering(spark):
@@ -117,7 +108,7 @@ def test_first_run_needs_no_clustering(spark):
             while n < len(s) and s[n - 1] - s[n] <= 0.5:
                 n += 1
             want = s[:n]
-        assert first_run_of_labels(scores) == want
+        assert first_density_cluster(scores) == want
 
 
 # --- ranges ----------------------------------------------------------------------------------------
@@ -349,3 +340,86 @@ def test_keyed_stores_calls_and_loops(spark):
     assert rows(guided) == [("b", 2)]
     symbols = spark.createDataFrame([("s",), ("s",), ("t",)], "symbol string")
     assert len({r.address for r in taint.surrogate_addresses(symbols).collect()}) == 2
+
+
+# --- depth -----------------------------------------------------------------------------------------
+
+def test_searches_have_no_depth_limit(spark, monkeypatch):
+    n = 200
+    chain = [("b", f"f{i}", i, f"f{i + 1}") for i in range(n)]
+    e = spark.createDataFrame(chain, "bin string, caller string, call_addr long, callee string")
+    start = spark.createDataFrame([("b", "f0")], "bin string, func string")
+    assert graph.reachable(e, start).count() == n + 1
+    assert graph.reachable(e, spark.createDataFrame([("b", f"f{n}")], start.schema), backward=True).count() == n + 1
+    flows = e.select("bin", F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    reach = taint.tainted(flows, start.withColumnRenamed("func", "var"))
+    assert reach.count() == n + 1 and reach.agg(F.max("depth")).first()[0] == n
+    links = flows.withColumnsRenamed({"src": "master", "dst": "slave"})
+    assert taint.dependents(links, start.withColumnRenamed("func", "var")).count() == n + 1
+    pairs = e.select(F.col("caller").alias("setter"), F.col("callee").alias("getter"))
+    assert units.schedule(pairs, spark.createDataFrame([("f0",)], "unit string")).agg(F.max("depth")).first()[0] == n
+    uses = spark.createDataFrame([(f"u{i}", f"k{j}") for i in range(n) for j in (i, i + 1)], "unit string, key string")
+    assert units.discovered_roles(spark.createDataFrame([("k0",)], "key string"), uses).count() == 2 * n
+
+
+def test_large_groups_go_in_rounds_with_the_same_result(spark):
+    rng = random.Random(8)
+    edges = [(b, rng.randrange(30), rng.randrange(30)) for b in range(4) for _ in range(8 + 10 * b)]
+    e = spark.createDataFrame([*edges, (0, None, 1), (None, 1, 2)], "bin int, src int, dst int")
+    s = spark.createDataFrame([(b, 0) for b in range(5)] + [(None, 1), (1, None)], "bin int, node int")
+    want = rows(common.reached(e, s))
+    assert want == rows(common.reached(e, s, group_edges=12)) == rows(common.reached(e, s, group_edges=1))
+    assert [r for r in want if r[0] == 4] == [(4, 0, 0)]
+    assert rows(common.reached(e, s, levels=1)) == [r for r in want if r[2] <= 1] == rows(common.reached(e, s, levels=1, group_edges=1))
+    assert common.reached(e.limit(0), s).count() == 5 and common.reached(e, s.limit(0)).count() == 0
+
+
+def test_long_paths_are_found(spark):
+    edges = [("b", f"f{i}", 10 * i, f"f{i + 1}") for i in range(40)] + [("b", "f40", 400, "system"), ("b", "f3", 31, "f7")]
+    found = search(spark, [], edges=edges, refs=[("b", "wan_mtu", 1, "f0", 0)])
+    assert sorted(len(r.path) for r in found.collect()) == [38, 41]
+    e = spark.createDataFrame(edges, "bin string, caller string, call_addr long, callee string")
+    none = spark.createDataFrame([], "bin string, call_addr long, pos int, const_str string")
+    refs = spark.createDataFrame([("b", "wan_mtu", 1, "f0", 0), ("b", "late", 1, "f0", 5), ("b", "end", 2, "f40", 0)], "bin string, param string, str_addr long, func string, ref_addr long")
+    assert rows(graph.sink_reachable(e, none, refs), "param") == [("end",), ("wan_mtu",)]
+
+
+# --- trace, pointers, formats ----------------------------------------------------------------------
+
+def test_calls_off_the_trace(spark):
+    calls = spark.createDataFrame([("b", 1, 100, False), ("b", 2, 200, False), ("b", 3, 300, False), ("b", 4, 100, True)], "bin string, call_addr long, block long, external boolean")
+    args = spark.createDataFrame([
+        ("b", 1, 0, "in", True), ("b", 1, 1, "out", True), ("b", 1, -1, "r1", None), ("b", 2, 0, "in", True), ("b", 2, -1, "r2", None),
+        ("b", 3, 0, "in", True), ("b", 3, 1, "buf", True), ("b", 3, 2, "ro", False), ("b", 3, -1, "r3", None), ("b", 4, 0, "in", True), ("b", 4, -1, "r4", None),
+    ], "bin string, call_addr long, pos int, var string, writable boolean")
+    traces = spark.createDataFrame([("b", 200)], "bin string, block long")
+    used = spark.createDataFrame([("b", 1), ("b", 2)], "bin string, call_addr long")
+    got = rows(taint.unguided_flows(calls, args, traces, used))
+    assert got == [("b", "buf", "in"), ("b", "in", "buf"), ("b", "in", "r1"), ("b", "out", "r1"), ("b", "ro", "buf"), ("b", "ro", "in")]
+
+
+def test_pointers_formats_and_callers(spark):
+    calls = spark.createDataFrame([("b", "f", 1, "system"), ("b", "f", 2, "sprintf"), ("b", "f", 3, "sprintf"), ("b", "g", 4, "fwrite"), ("b", "g", 5, "doSystemCmd")], "bin string, func string, call_addr long, callee string")
+    args = spark.createDataFrame([("b", 1, 0, "p"), ("b", 2, 3, "t"), ("b", 3, 3, "t"), ("b", 4, 0, "t"), ("b", 5, 1, "q"), ("b", 5, 2, "t")], "bin string, call_addr long, pos int, var string")
+    consts = spark.createDataFrame([("b", 2, 1, "%s"), ("b", 5, 0, "a %s %%")], "bin string, call_addr long, pos int, const_str string")
+    taints = spark.createDataFrame([("b", "t")], "bin string, var string")
+    points = spark.createDataFrame([("b", "p", "t"), ("b", "q", "x")], "bin string, var string, target string")
+    sinks = taint.table_of(spark, "sinks")
+    classes = ("command", "overflow", "write")
+    assert rows(taint.alerts(calls, args, taints, sinks, classes=classes), "call_addr", "pos") == [(2, 3), (3, 3), (4, 0), (5, 2)]
+    formats = taint.directives(calls, consts)
+    assert rows(formats, "call_addr", "n") == [(2, 1), (5, 3)]
+    exact = taint.alerts(calls, args, taints, sinks, classes=classes, points_to=points, formats=formats)
+    assert rows(exact, "call_addr", "pos") == [(1, 0), (3, 3), (4, 0), (5, 2)]
+    assert rows(taint.tainted_callers(calls, args, taints, points), "func", "call_addr", "pos") == [("f", 1, 0), ("f", 2, 3), ("f", 3, 3), ("g", 4, 0), ("g", 5, 2)]
+    sized = spark.createDataFrame([("b", 7, "strncmp"), ("b", 8, "strncmp")], "bin string, call_addr long, callee string")
+    places = spark.createDataFrame([("b", 7, 0, "t"), ("b", 7, 1, "c"), ("b", 7, 2, "n"), ("b", 8, 0, "u"), ("b", 8, 1, "c"), ("b", 8, 2, "t")], "bin string, call_addr long, pos int, var string")
+    seeds = spark.createDataFrame([("b", "t"), ("b", "u")], "bin string, var string")
+    assert rows(taint.sanitized(sized, places, taint.table_of(spark, "summaries"), seeds)) == [("b", "t")]
+
+
+def test_numbering_in_ranges(spark):
+    names = [(f"n{i % 37:02d}{i}",) for i in range(200)]
+    got = common.numbered(spark.createDataFrame(names, "name string").repartition(7), ["name"])
+    assert sorted((r.number, r.name) for r in got.collect()) == list(enumerate(sorted(n for n, in names), 1))
+    assert common.numbered(spark.createDataFrame([], "name string"), ["name"]).count() == 0

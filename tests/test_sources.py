@@ -6,7 +6,7 @@ from factloom.plans import lifecycle
 from factloom.sources import binstrings, devices, files, reports, web
 
 
-def test_schemas_parse():
+def test_schemas_parse(spark):
     assert all(schemas.schema(name).fieldNames() for name in schemas._DDL)
 
 
