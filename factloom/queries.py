@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import devices, text
 from .operators import graph, keywords, matching, ranges, ranking, stats, taint, units
-from .operators.common import saved
+from .operators.common import saved, scratch
 from .sources import binstrings, reports, web
 from .streaming import counts
 
@@ -603,17 +603,8 @@ def taint_alerts(spark, sf_dir):
 def stream_counts(spark, sf_dir):
     rows = _t(spark, sf_dir, "events")
     stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parque[t]")
-    where = _scratch(spark)
+    where = scratch(spark, "stream")
     # event times carry no zone, as the tables' do
     found = counts.windowed(stream.withColumn("ts", F.col("ts").cast("timestamp")))
-    out = counts.drained(spark, found, f"{where}/out", f"{where}/state")
+    out = counts.drained(spark, found, f"{where}/out", f"{where}/state", keys=["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-
-
-def _scratch(spark: SparkSession) -> str:
-    """A fresh folder where driver and executors both reach it."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='factloom-')}/stream-{uuid.uuid4().hex}"
