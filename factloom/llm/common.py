@@ -4,36 +4,35 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its measured row count times its row width stays below this.
-BROADCAST_BYTES = 32 << 20
+from ..operators.common import fits, shared_dir
 
+#: Rows in an Arrow batch at most: whole texts are long.
+BATCH_ROWS = 1000
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = held.get() if held.isDefined() else None
-    if where is None:
-        where = tempfile.mkdtemp(prefix="factloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-#: Rows in an Arrow batch at most: whole texts are long.
-BATCH_ROWS = 1000
-_scope: list[str] | None = None
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column in ``taken`` has it, whatever its case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -53,20 +52,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when this driver ends, or with its scope."""
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    if _scope is not None:
-        _scope.append(path)
+    if (held := _scope.get()) is not None:
+        held.append(path)
     return path
 
 
 @contextlib.contextmanager
 def scope() -> Iterator[list[str]]:
-    """Collects the paths that are made inside, for ``remove`` once they are not needed any more."""
-    global _scope
-    outer, _scope = _scope, []
+    """Collects the paths that this thread makes inside, for ``remove`` once they are not needed any more."""
+    held: list[str] = []
+    token = _scope.set(held)
     try:
-        yield _scope
+        yield held
     finally:
-        _scope = outer
+        _scope.reset(token)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -92,12 +91,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if its rows fit in ``limit`` bytes.
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if its rows, measured, are few enough.
 
     Beyond that it is returned as it is, and the join shuffles (AQE splits skewed partitions).
     """
-    return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
+    return F.broadcast(df) if fits(df) else df
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -144,7 +144,7 @@ def _joined(scored: DataFrame, host: Column, path: Column, by_site: DataFrame) -
         F.col("host_rate").alias("__host_rate"), F.col("path_rate").alias("__rate"),
         F.col("path_strength").alias("__strength"),
     )
-    return scored.join(small(keys, 256), host.eqNullSafe(F.col("__host")) & path.eqNullSafe(F.col("__path")))
+    return scored.join(small(keys), host.eqNullSafe(F.col("__host")) & path.eqNullSafe(F.col("__path")))
 
 
 def classify(

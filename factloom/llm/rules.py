@@ -165,7 +165,7 @@ def judge(
     on: Column = F.lit(True)
     for g in names:
         on = on & F.col(g).eqNullSafe(F.col(f"k_{g}"))
-    joined = counted.join(small(fences.select(*(F.col(g).alias(f"k_{g}") for g in names), "fences"), 1024), on, "left")
+    joined = counted.join(small(fences.select(*(F.col(g).alias(f"k_{g}") for g in names), "fences")), on, "left")
     inside: Column = F.lit(True)
     for metric, (value, _, lower) in METRICS.items():
         fence = F.col("fences")[metric]

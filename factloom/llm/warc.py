@@ -68,7 +68,7 @@ def write(
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
     later = revisits(rows, min_bytes)
-    later = small(later.select(F.col("page_id").alias("r_id"), F.col("key").alias("r_key"), "refers_to"), 128)
+    later = small(later.select(F.col("page_id").alias("r_id"), F.col("key").alias("r_key"), "refers_to"))
     on = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key"))
     rows = rows.withColumn("key", _key("html")).join(later, on, "left")
     again = F.col("refers_to").isNotNull()
@@ -292,9 +292,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
     keys = ["file", "block", "at"]
     rows = _numbered(_pieces(spark, path))
-    out = _parsed(rows.join(small(torn.select(*keys), 256), keys, "left_anti"))
+    out = _parsed(rows.join(small(torn.select(*keys)), keys, "left_anti"))
     if inside.limit(1).count():
-        parts = rows.join(small(torn.filter("owner IS NOT NULL"), 256), keys)
+        parts = rows.join(small(torn.filter("owner IS NOT NULL")), keys)
         whole = parts.groupBy("file", "owner").agg(
             F.array_sort(F.collect_list(F.struct("off", "block", "at", "value"))).alias("parts")
         )
