@@ -24,22 +24,30 @@ OP3 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OV
 
 _GAMMA = "(1.01::DOUBLE / 0.99)"
 _METRICS = (
-    ("symbols", "1000 * n_symbols / greatest(word_chars, 1)", 20.0),
-    ("dup_lines", "1000 * n_dup_lines / greatest(n_lines, 1)", 400.0),
-    ("repeats", "1000 * n_repeat_words / greatest(n_words, 1)", 200.0),
-    ("stutter", "1000 * n_stutter / greatest(n_words, 1)", 100.0),
-    ("word_length", "1000 * word_chars / greatest(n_words, 1)", 1000.0),
+    ("symbols", "1000 * n_symbols / greatest(word_chars, 1)", 10.0),
+    ("dup_lines", "1000 * n_dup_lines / (n_lines + 10)", 100.0),
+    ("repeats", "1000 * n_repeat_words / greatest(n_words, 1)", 150.0),
+    ("stutter", "1000 * n_stutter / greatest(n_words, 1)", 50.0),
+    ("word_length", "1000 * word_chars / greatest(n_words, 1)", 500.0),
 )
+#: An exponential tail through median and upper quartile, exceeded by one in ten thousand.
+_REACH = "(ln(0.25::DOUBLE * 10000) / ln(0.5::DOUBLE / 0.25))"
 _VALUES = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, ({v})::DOUBLE AS value, {s} AS slack FROM good" for m, v, s in _METRICS)
 
 
-def _fences(keys: str) -> str:
+def _quantiles(keys: str) -> str:
     by = ", ".join(filter(None, [keys, "metric"]))
-    return f"""SELECT {by}, max(docs) AS docs, min(CASE WHEN upto >= docs * 0.25 THEN v END) AS q1, min(CASE WHEN upto >= docs * 0.75 THEN v END) AS q3 FROM (
+    parts = ", ".join(f"min(CASE WHEN upto >= docs * {q} THEN v END) AS {n}" for q, n in (("0.25::DOUBLE", "q1"), ("0.5::DOUBLE", "q2"), ("0.75::DOUBLE", "q3")))
+    return f"""SELECT {by}, max(docs) AS docs, {parts} FROM (
       SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {by}) AS docs,
         coalesce(pow({_GAMMA}, bucket) * 2 / (1 + {_GAMMA}), 0.0) AS v FROM (SELECT {by}, bucket, count(*) AS n FROM buckets GROUP BY ALL)) GROUP BY {by}"""
 
 
+def _shrunk(q: str) -> str:
+    language = f"((f1.docs * f1.{q} + 100.0::DOUBLE * f0.{q}) / (f1.docs + 100.0::DOUBLE))"
+    return f"((f2.docs * f2.{q} + 100.0::DOUBLE * {language}) / (f2.docs + 100.0::DOUBLE)) AS {q}"
+
+
 OP8 = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS words FROM documents),
   u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
   g AS (SELECT doc_id, i, lag(word) OVER d AS before, word, concat_ws(' ', word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d) AS gram,
@@ -57,11 +65,11 @@ OP8 = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, r
   good AS (SELECT * FROM based WHERE NOT base_failed),
   v AS ({_VALUES}),
   buckets AS (SELECT *, CASE WHEN value > 0 THEN ceil(round(ln(value) / ln({_GAMMA}), 9)) END AS bucket FROM v),
-  f0 AS ({_fences('')}), f1 AS ({_fences('lang')}), f2 AS ({_fences('lang, source')}),
-  judged AS (SELECT v.doc_id, bool_and(value <= q3 + (q3 - q1) * 6.0 + slack AND (metric <> 'word_length' OR value >= q1 - ((q3 - q1) * 6.0 + slack))) AS inside FROM (
-    SELECT v.*, CASE WHEN f2.docs >= 200 THEN f2.q1 WHEN f1.docs >= 200 THEN f1.q1 ELSE f0.q1 END AS q1, CASE WHEN f2.docs >= 200 THEN f2.q3 WHEN f1.docs >= 200 THEN f1.q3 ELSE f0.q3 END AS q3
+  f0 AS ({_quantiles('')}), f1 AS ({_quantiles('lang')}), f2 AS ({_quantiles('lang, source')}),
+  judged AS (SELECT doc_id, bool_and(value <= round(q3 + (q3 - q2) * {_REACH} + slack, 6) AND (metric <> 'word_length' OR value >= round(q1 - (q2 - q1) * {_REACH} - slack, 6))) AS inside FROM (
+    SELECT v.*, {_shrunk('q1')}, {_shrunk('q2')}, {_shrunk('q3')}
     FROM v JOIN f0 USING (metric) JOIN f1 ON f1.metric = v.metric AND f1.lang IS NOT DISTINCT FROM v.lang
-      JOIN f2 ON f2.metric = v.metric AND f2.lang IS NOT DISTINCT FROM v.lang AND f2.source IS NOT DISTINCT FROM v.source) v GROUP BY v.doc_id)
+      JOIN f2 ON f2.metric = v.metric AND f2.lang IS NOT DISTINCT FROM v.lang AND f2.source IS NOT DISTINCT FROM v.source) v GROUP BY doc_id)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, true) AS kept
   FROM based LEFT JOIN judged USING (doc_id)"""
 

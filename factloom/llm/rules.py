@@ -3,10 +3,11 @@
 Method: each metric of each document falls into a logarithmic bucket (relative error ``ERROR``); the
 counts of a group's buckets are a quantile sketch that merges by addition, so partial aggregation
 builds it before the shuffle and a source with a third of all documents costs one row a bucket and
-task.  A group's fence is its upper quartile plus ``spread`` interquartile ranges plus a slack (and
-the same below for the mean word length); groups under ``min_group`` documents take the fences of
-their language, and languages under it those of the corpus.  Documents join their fences and are
-kept within all of them.
+task.  A group's quantiles (``LOW``, median, ``HIGH``) are shrunk towards its language's, and these
+towards the corpus's, the more the fewer documents it has, so no count switches a threshold.  The
+fence is where an exponential tail through median and ``HIGH`` quantile is exceeded by one document
+in ``rare``, plus a small slack for what counts of few words cannot resolve (and the same below for
+the mean word length).  Documents join their fences and are kept within all of them.
 
 Defined cases: a null or empty text has no words and fails the base rules; null languages and
 sources are groups of their own; repeated rows count as often as they occur; an empty table gives no
@@ -15,6 +16,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import operator
 import re
 
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, trim, written
+from .common import col, small, trim, written
 
 #: Relative error of a sketched quantile.
 ERROR = 0.01
@@ -83,19 +85,28 @@ def counts(docs: DataFrame, id_col: str, text_col: str, groups: list[str]) -> Da
             yield found[[*names, *COUNTS]]
         trim()
 
-    picked = [F.col(c).alias(n) for c, n in zip([id_col, *groups], names, strict=True)]
+    picked = [col(c).alias(n) for c, n in zip([id_col, *groups], names, strict=True)]
     schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), *(f"{c} long" for c in COUNTS)])
-    return docs.select(*picked, F.col(text_col).alias("text")).mapInPandas(scan, schema)
+    return docs.select(*picked, col(text_col).alias("text")).mapInPandas(scan, schema)
 
 
 #: metric: (expression over the counts, in thousandths; slack of the fence; has a lower fence too)
 METRICS = {
-    "symbols": ("1000 * n_symbols / greatest(word_chars, 1)", 20.0, False),
-    "dup_lines": ("1000 * n_dup_lines / greatest(n_lines, 1)", 400.0, False),
-    "repeats": ("1000 * n_repeat_words / greatest(n_words, 1)", 200.0, False),
-    "stutter": ("1000 * n_stutter / greatest(n_words, 1)", 100.0, False),
-    "word_length": ("1000 * word_chars / greatest(n_words, 1)", 1000.0, True),
+    "symbols": ("1000 * n_symbols / greatest(word_chars, 1)", 10.0, False),
+    "dup_lines": ("1000 * n_dup_lines / (n_lines + 10)", 100.0, False),
+    "repeats": ("1000 * n_repeat_words / greatest(n_words, 1)", 150.0, False),
+    "stutter": ("1000 * n_stutter / greatest(n_words, 1)", 50.0, False),
+    "word_length": ("1000 * word_chars / greatest(n_words, 1)", 500.0, True),
 }
+#: Quantiles of a sketch that make its fences beside the median; they are far enough in that junk of less
+#: than a quarter of a group does not move them.
+LOW, HIGH = 0.25, 0.75
+
+
+def reach(rare: float) -> float:
+    """Distances between median and ``HIGH`` quantile from there to what one document in ``rare`` exceeds,
+    if the tail is exponential."""
+    return math.log((1 - HIGH) * rare) / math.log(0.5 / (1 - HIGH))
 
 
 def _bucket(value: Column) -> Column:
@@ -103,24 +114,21 @@ def _bucket(value: Column) -> Column:
     return F.when(value > 0, F.ceil(F.round(F.log(value) / float(np.log(gamma)), 9)).cast("int"))
 
 
-def _fences(measured: DataFrame, by: list[str], spread: float) -> DataFrame:
-    """(by, metric, docs, low, high): fences of each group from its merged sketch."""
+def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, docs, low, mid, high): quantiles of each group from its merged sketch."""
     gamma = (1 + ERROR) / (1 - ERROR)
-    sketch = measured.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
+    merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     order = ", ".join([*by, "metric"])
-    ranked = sketch.selectExpr(
+    ranked = merged.selectExpr(
         "*",
         f"sum(n) OVER (PARTITION BY {order} ORDER BY bucket NULLS FIRST) AS upto",
         f"sum(n) OVER (PARTITION BY {order}) AS docs",
     ).withColumn("value", F.coalesce(F.pow(F.lit(gamma), F.col("bucket")) * 2 / (1 + gamma), F.lit(0.0)))
-    quartile = [F.min(F.when(F.col("upto") >= F.col("docs") * q, F.col("value"))).alias(n) for q, n in ((0.25, "q1"), (0.75, "q3"))]
-    found = ranked.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), *quartile)
-    slack = F.create_map(*(x for m, (_, s, _) in METRICS.items() for x in (F.lit(m), F.lit(s))))[F.col("metric")]
-    reach = (F.col("q3") - F.col("q1")) * spread + slack
-    return found.select(*by, "metric", "docs", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    found = [F.min(F.when(F.col("upto") >= F.col("docs") * q, F.col("value"))).alias(n) for q, n in ((LOW, "low"), (0.5, "mid"), (HIGH, "high"))]
+    return ranked.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), *found)
 
 
-def thresholds(counted: DataFrame, levels: int, spread: float, min_group: int) -> DataFrame:
+def thresholds(counted: DataFrame, levels: int, rare: float, strength: float) -> DataFrame:
     """(g0, g1.., fences map<metric, struct<low, high>>) for every group of all ``levels`` columns."""
     groups = [f"g{k}" for k in range(levels)]
     values = F.array(*(F.struct(F.lit(m).alias("metric"), F.expr(e).alias("value")) for m, (e, *_) in METRICS.items()))
@@ -132,20 +140,25 @@ def thresholds(counted: DataFrame, levels: int, spread: float, min_group: int) -
         "sketches",
     )
     out = finest.select(*groups, "metric").distinct()
-    chosen: Column | None = None
-    for depth in range(levels + 1):  # corpus, language, language and source: the finest large enough
+    shrunk: dict[str, Column] = {}
+    for depth in range(levels + 1):  # corpus, language, language and source
         by = groups[:depth]
-        fences = _fences(finest, by, spread).select(
+        own = _quantiles(finest, by).select(
             *(F.col(g).alias(f"k_{g}") for g in by),
-            F.col("metric").alias("k_metric"), F.struct("docs", "low", "high").alias(f"f{depth}"),
+            F.col("metric").alias("k_metric"), *(F.col(c).alias(f"{c}{depth}") for c in ("docs", "low", "mid", "high")),
         )
         on = F.col("metric") == F.col("k_metric")
         for g in by:
             on = on & F.col(g).eqNullSafe(F.col(f"k_{g}"))
-        out = out.join(fences, on, "left").drop("k_metric", *(f"k_{g}" for g in by))
-        mine = F.struct(F.col(f"f{depth}.low").alias("low"), F.col(f"f{depth}.high").alias("high"))
-        chosen = mine if chosen is None else F.when(F.col(f"f{depth}.docs") >= min_group, mine).otherwise(chosen)
-    out = out.select(*groups, "metric", chosen.alias("fence"))
+        out = out.join(own, on).drop("k_metric", *(f"k_{g}" for g in by))
+        for c in ("low", "mid", "high"):
+            mine, docs = F.col(f"{c}{depth}"), F.col(f"docs{depth}")
+            shrunk[c] = (docs * mine + strength * shrunk[c]) / (docs + strength) if depth else mine
+    far = reach(rare)
+    slack = F.create_map(*(x for m, (_, s, _) in METRICS.items() for x in (F.lit(m), F.lit(s))))[F.col("metric")]
+    low = F.round(shrunk["low"] - (shrunk["mid"] - shrunk["low"]) * far - slack, 6)
+    high = F.round(shrunk["high"] + (shrunk["high"] - shrunk["mid"]) * far + slack, 6)
+    out = out.select(*groups, "metric", F.struct(low.alias("low"), high.alias("high")).alias("fence"))
     return written(
         out.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("metric", "fence"))).alias("fences")),
         "fences",
@@ -154,13 +167,16 @@ def thresholds(counted: DataFrame, levels: int, spread: float, min_group: int) -
 
 def judge(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"),
-    spread: float = 6.0, min_group: int = 200, min_words: int = 10, max_repeat_percent: int = 20,
+    rare: float = 10000.0, strength: float = 100.0, min_words: int = 10, max_repeat_percent: int = 20,
 ) -> DataFrame:
-    """doc_id, the counts, base_failed and kept: one row per row of ``docs``."""
+    """doc_id, the counts, base_failed and kept: one row per row of ``docs``.
+
+    ``strength``: documents that a parent's quantiles weigh against a group's own.
+    """
     counted = written(counts(docs, id_col, text_col, list(groups)), "counts")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     # what fails the base rules has no say in the thresholds
-    fences = thresholds(counted.filter(~failed), len(groups), spread, min_group)
+    fences = thresholds(counted.filter(~failed), len(groups), rare, strength)
     names = [f"g{k}" for k in range(len(groups))]
     on: Column = F.lit(True)
     for g in names:
