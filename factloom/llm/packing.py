@@ -15,8 +15,8 @@ often as they occur; null ids pass through; an empty table gives no rows; other
 
 from __future__ import annotations
 
-import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -24,58 +24,81 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, written
+from .common import col, trim, written
 
 _ENCODERS: dict[str, object] = {}
+#: Runs of white space, and of anything else, that go to the tokenizer itself: the fast encoder's pattern
+#: engine backtracks along the former and its stack would not hold.
+_LONG_SPACE, LONG_WORD = re.compile(r"\s{512}"), 4096
 
 
-def encoder(path: str):
-    """A tokenizer file of byte-level BPE kind as a fast encoder with the same ids.
+class Encoder:
+    """Ids of whole texts exactly as the tokenizer file's own library gives them (special tokens are not
+    added; its added tokens are found in texts).
 
-    Vocabulary ranks and added tokens are read from the file.
+    A byte-level BPE file with a known pattern and no normalizer is encoded by a faster library with the
+    same ranks, but only for texts on which both are alike: without any added token's string, and
+    without very long runs.  All other texts, and files of another kind, go to the library itself.
     """
-    if path not in _ENCODERS:
-        import public_tokenizers
-        import tiktoken
 
+    def __init__(self, path: str):
+        import tokenizers
+
+        self.exact = tokenizers.Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.fast = self._fast(spec)
+
+    def _fast(self, spec: dict):
+        import public_tokenizers
+        import tiktoken
+
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain_file = model["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+        if not plain_file or spec.get("normalizer") or spec.get("truncation"):
+            return None
         # byte-level vocabularies write each byte as a printable character
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {chr(b): b for b in plain}
-        shown |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {
-            bytes(shown[c] for c in token): rank
-            for token, rank in spec["model"]["vocab"].items()
-            if token not in special
-        }
-        _ENCODERS[path] = tiktoken.Encoding(
-            "byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
-        )
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {chr(b): b for b in printable}
+        shown |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(shown[c] for c in token): rank for token, rank in model["vocab"].items() if token not in added}
+        return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __call__(self, text: str) -> list[int]:
+        odd = self.fast is None or (self.special is not None and self.special.search(text)) or _LONG_SPACE.search(text)
+        if odd or (len(text) >= LONG_WORD and max(map(len, text.split()), default=0) >= LONG_WORD):
+            return self.exact.encode(text, add_special_tokens=False).ids
+        return self.fast(text)
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file; a worker reads each file once."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048,
-    end_id: int = 0, added: bool = False,
+    end_id: int = 0,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and its end token, cut only if
     longer than ``seq_len``, the shorter piece first.  ``tokenizer`` is the file's name among the
-    public tokenizers, so that every executor finds its own copy.  With ``added`` the strings of the
-    file's added tokens are those tokens, as the tokenizer has it by default; else ordinary text."""
+    public tokenizers, so that every executor finds its own copy."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
         import public_tokenizers
 
-        fast = encoder(public_tokenizers.path(tokenizer))
-        encode = functools.partial(fast.encode, allowed_special="all") if added else fast.encode_ordinary
+        encode = encoder(public_tokenizers.path(tokenizer))
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 rows = []
                 part = batch.iloc[lo : lo + 512]
-                for doc_id, text in zip(part[id_col], part[text_col], strict=True):
+                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
                     ids = np.array([*encode(text if isinstance(text, str) else ""), end_id], dtype="<u4")
                     n = len(ids)
                     edges = [0, *range(n % seq_len or min(n, seq_len), n + 1, seq_len)]
@@ -88,7 +111,7 @@ def token_pieces(
                 yield out
         trim()
 
-    return docs.select(id_col, text_col).mapInPandas(
+    return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInPandas(
         cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
     )
 
@@ -138,17 +161,18 @@ def best_fit(
 
 def pack(
     docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_col: str = "doc_id", text_col: str = "text",
-    seq_len: int = 2048, max_docs: int = 512, max_cost: float | None = None, rule: str = "norm",
-    group_size: int = 16384, added: bool = False,
+    seq_len: int = 2048, max_docs: int | None = None, max_cost: float | None = None, rule: str = "norm",
+    group_size: int = 16384,
 ) -> DataFrame:
     """Spans of the packed sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``max_docs`` and ``max_cost`` (default ``seq_len ** 2``) are the other two capacities of a
-    sequence; a piece that alone exceeds one of them gets a sequence of its own.
+    ``max_docs`` (default ``seq_len``) and ``max_cost`` (default ``seq_len ** 2``) are the other two
+    capacities of a sequence; at their defaults neither binds, as tokens bind first.  A piece that alone
+    exceeds one of them gets a sequence of its own.
     """
-    cost = float(max_cost or seq_len**2)
+    cost, most = float(max_cost or seq_len**2), max_docs or seq_len
     pieces = written(
-        token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, seq_len=seq_len, added=added).withColumn(
+        token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, seq_len=seq_len).withColumn(
             "deal", F.monotonically_increasing_id()
         ),
         "pieces",
@@ -160,7 +184,7 @@ def pack(
     def place(key, group):
         group = group.sort_values(["length", "deal"], ascending=[False, True], ignore_index=True)
         bins, offsets = best_fit(
-            group["length"].to_numpy(), seq_len=seq_len, max_docs=max_docs, max_cost=cost, rule=rule
+            group["length"].to_numpy(), seq_len=seq_len, max_docs=most, max_cost=cost, rule=rule
         )
         return group[kept].assign(sequence_id=(np.int64(key[0]) << 40) + bins, offset=offsets)
 

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from factloom.llm import packing
+from factloom.llm import packing, queries
 
 FILE = "byte_bpe_50k.json"
 
@@ -23,7 +23,6 @@ def test_pieces_and_sequences_round_trip(spark):
     seq = 128
     got = packing.pack(docs, FILE, seq_len=seq, group_size=40).collect()
     t = Tokenizer.from_file(public_tokenizers.path(FILE))
-    t.encode_special_tokens = True
     by_doc = {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -79,11 +78,49 @@ def test_best_fit_equals_brute_force_under_every_capacity():
             assert bins.max() + 1 == len(want)
 
 
-def test_added_tokens_are_those_of_the_tokenizer_as_loaded(spark):
+LONG = [" " * 1_000_000, "\n" * 1_000_000, "x" * 1_000_000, "a " * 3 + "\t" * 4000 + "b", "é" * 5000, "<|endoftext|>" * 300, "hello <|endoftext|> world"]
+
+
+def test_ids_are_those_of_the_tokenizer_as_loaded():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(FILE))
+    encode = packing.encoder(public_tokenizers.path(FILE))
+    assert encode.fast is not None
+    for text in [t or "" for t in texts()] + LONG + ["a<|endoftext|><|endoftext|>b  <|endoftext", " " * 511 + "x" + "y" * 4095]:
+        assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode("hello <|endoftext|> world") == [31373, 220, 50256, 995]
+    other = public_tokenizers.path("word_bpe_49k.json")  # another kind of file has no fast form
+    assert packing.encoder(other).fast is None
+    assert packing.encoder(other)("Some Words") == Tokenizer.from_file(other).encode("Some Words", add_special_tokens=False).ids
+
+
+def test_query_packs_whole_texts_as_the_contract_says(spark, tmp_path):
+    rows = list(enumerate([*texts(), *LONG]))
+    spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, lang string, `a.b` int").write.parquet(str(tmp_path / "documents.parquet"))
     tokenizer = Tokenizer.from_file(public_tokenizers.path(FILE))
-    rows = list(enumerate([*texts(), "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>b  <|endoftext"]))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.doc_id, r.length, r.ids_crc32) for r in packing.token_pieces(docs, FILE, seq_len=1 << 20, added=True).collect()}
-    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
-    assert got == {(i, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, x in ids.items()}
-    assert ids[len(texts())] == [31373, 220, 50256, 995, 0]
+    by_doc, by_sequence = {}, {}
+    for r in queries.op9_pack(spark, str(tmp_path)).collect():
+        by_doc.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        mine = sorted(by_doc[i])
+        assert [m[0] for m in mine] == list(range(len(mine)))
+        assert [m[1] for m in mine] == [0, *np.cumsum([m[2] for m in mine])[:-1].tolist()]
+        assert all(m[2] == 2048 for m in mine[1:]) and sum(m[2] for m in mine) == len(ids)
+        for _, start, length, crc in mine:
+            assert crc == zlib.crc32(np.array(ids[start : start + length], dtype="<u4").tobytes())
+    for spans in by_sequence.values():
+        ends = np.cumsum([n for _, n in sorted(spans)])
+        assert [o for o, _ in sorted(spans)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
+    tokens = sum(m[2] for pieces in by_doc.values() for m in pieces)
+    assert len(by_sequence) <= -(-tokens // 2048) + 1
+
+
+def test_capacities_that_bind_hold_in_every_sequence(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 9)) for i in range(300)], "doc_id long, text string")
+    got = packing.pack(docs, FILE, seq_len=64, max_docs=3, max_cost=200.0, group_size=100).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append(r.length)
+    assert all(len(x) <= 3 and sum(x) <= 64 and (sum(n * n for n in x) <= 200 or len(x) == 1) for x in held.values())
+    assert max(map(len, held.values())) == 3 and len(got) == 300
