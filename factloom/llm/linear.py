@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import col
+
 BUCKETS = 1 << 20
 _TRIM = b".,;:!?\"'()[]{}#*$%&|<>-_~/\\"
 _PREFIX = 4
@@ -67,18 +69,46 @@ def shape(text: str | None) -> np.ndarray:
 SHAPES = 13
 
 
+#: Features of one text that training sees at most: those of the smallest hashes.  Scoring sees all.
+MAX_FEATURES = 4096
+
+
 def sampled(frame: DataFrame, key: str, size: int) -> DataFrame:
-    """At most ``size`` rows, the same whatever the partitions: those of the smallest key hashes."""
-    return frame.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), key).limit(size)
+    """At most ``size`` distinct rows, the same whatever the partitions: those of the smallest key hashes.
+
+    Only keys below a hash that leaves about twice as many are made distinct; if too few are left, more.
+    """
+    order = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
+    found = frame.agg(F.approx_count_distinct(key)).first()[0]
+    share = min(1.0, 2 * size / max(1, found))
+    while True:
+        picked = frame if share >= 1 else frame.filter(order < F.lit(int(share * 2**64) - 2**63).cast("long"))
+        picked = picked.distinct()
+        if share >= 1 or picked.limit(size).count() >= size:
+            return picked.orderBy(order, key).limit(size)
+        share = min(1.0, 2 * share)
+
+
+def one_text(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(the columns of ``keys``, text): one row for each of the few ``keys`` that ``docs`` holds.
+
+    Of rows with the same id the text of the least hash is taken, by partial aggregation, so that an id
+    repeated a million times is one row a task.
+    """
+    rows = docs.select(col(id_col).alias("key"), col(text_col).alias("text"))
+    picked = rows.join(F.broadcast(keys), "key")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")
+    return picked.groupBy(*keys.columns).agg(first).select(*keys.columns, F.col("first.text").alias("text"))
 
 
 def collected(docs: DataFrame, text_col: str, keep: list[str], with_shape: bool = False) -> pd.DataFrame:
-    """The ``keep`` columns and the features (as bytes) of a bounded set of documents."""
+    """The ``keep`` columns and the features (as bytes) of a bounded set of documents, each at most
+    ``MAX_FEATURES`` features."""
 
     def scan(batches):
         for batch in batches:
             out = batch[keep].copy()
-            out["features"] = [text_features(t).tobytes() for t in batch[text_col]]
+            out["features"] = [bounded(text_features(t)).tobytes() for t in batch[text_col]]
             out["shape"] = [shape(t).tobytes() if with_shape else b"" for t in batch[text_col]]
             yield out
 
@@ -87,6 +117,14 @@ def collected(docs: DataFrame, text_col: str, keep: list[str], with_shape: bool
     return pd.DataFrame([tuple(r) for r in rows], columns=[*keep, "features", "shape"])
 
 
+def bounded(features: np.ndarray, most: int = MAX_FEATURES) -> np.ndarray:
+    """At most ``most`` of sorted buckets, chosen by a hash of the bucket."""
+    if len(features) <= most:
+        return features
+    order = np.argsort(features.astype(np.uint32) * np.uint32(2654435761), kind="stable")[:most]
+    return np.sort(features[order])
+
+
 class Design:
     """Sparse 0/1 rows over the buckets that matter, with dense columns beside them."""
 

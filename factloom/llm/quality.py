@@ -6,7 +6,8 @@ beta priors are fitted by moments, and a host's rate is shrunk to the corpus rat
 its host's, the more the fewer documents the site has.  A document's posterior log-odds are its own
 log-likelihood ratio plus the log-odds of its path without its own share.
 
-Scale: training takes at most ``max_labelled`` labelled rows (documented bound, chosen by id hash).
+Scale: training takes at most ``max_labelled`` labelled rows, one for an id and at most
+``linear.MAX_FEATURES`` features of each (documented bounds, chosen by hash).
 Sites are summed with partial aggregation, so a host with a third of all documents costs a row a
 task; fitted priors are four numbers.  Sites join back to (id, site, score) rows without texts; the
 site table is broadcast only if its measured size allows.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import small, written
+from .common import col, fresh, small, written
 
 
 def train(features: list[np.ndarray], shapes: np.ndarray, good: np.ndarray, rounds: int = 600, decay: float = 1e-3):
@@ -53,10 +54,10 @@ def fit(
     max_labelled: int = 8000,
 ) -> linear.Scorer:
     """The document classifier.  Classes are balanced, so its output is a log-likelihood ratio."""
-    known = labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("label")).dropna()
-    known = linear.sampled(known.groupBy("key").agg(F.max("label").alias("label")), "key", max_labelled)
-    picked = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    rows = linear.collected(picked.join(F.broadcast(known), "key"), "text", ["key", "label"], with_shape=True)
+    known = labels.select(col(id_col).alias("key"), col(label_col).alias("label")).dropna()
+    ids = linear.sampled(known.select("key"), "key", max_labelled)
+    known = known.join(F.broadcast(ids), "key", "left_semi").groupBy("key").agg(F.max("label").alias("label"))
+    rows = linear.collected(linear.one_text(docs, known, id_col, text_col), "text", ["key", "label"], with_shape=True)
     rows = rows.sort_values("key")
     good = rows["label"].to_numpy() == 1
     if not len(rows) or good.all() or not good.any():
@@ -67,7 +68,7 @@ def fit(
     return linear.Scorer(active, w, v, with_shape=True)
 
 
-def evidence(model: linear.Scorer, text: str) -> Column:
+def evidence(model: linear.Scorer, text: Column) -> Column:
     """The classifier's log-likelihood ratio of a text column, bounded to +-8."""
 
     @F.pandas_udf("double")
@@ -124,27 +125,23 @@ def sites(scored: DataFrame, prior: float) -> DataFrame:
     return written(joined.withColumn("path_rate", shrunk).withColumn("path_strength", F.lit(path_k)), "sites")
 
 
-def _posterior(prior: float) -> tuple[Column, Column]:
-    """(path rate without the document itself, posterior probability) over joined columns."""
-    own = 1 / (1 + F.exp(-(F.col("__llr") + F.lit(math.log(prior / (1 - prior))))))
-    others = (F.col("__docs") - 1 + F.col("__strength")) * 1.0
-    rate = (F.col("__rate") * (F.col("__docs") + F.col("__strength")) - own) / others
-    rate = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), rate))
-    return rate, 1 / (1 + F.exp(-(F.col("__llr") + F.log(rate / (1 - rate)))))
-
-
 def _prior(labels: DataFrame, label_col: str) -> float:
-    share = labels.agg(F.avg(F.col(label_col).cast("double"))).first()[0]
+    share = labels.agg(F.avg(col(label_col).cast("double"))).first()[0]
     return 0.5 if share is None else min(0.99, max(0.01, share))
 
 
-def _joined(scored: DataFrame, host: Column, path: Column, by_site: DataFrame) -> DataFrame:
-    keys = by_site.select(
-        F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("docs").alias("__docs"),
-        F.col("host_rate").alias("__host_rate"), F.col("path_rate").alias("__rate"),
-        F.col("path_strength").alias("__strength"),
-    )
-    return scored.join(small(keys), host.eqNullSafe(F.col("__host")) & path.eqNullSafe(F.col("__path")))
+def _judged(scored: DataFrame, host: str, path: str, llr: str, prior: float) -> tuple[DataFrame, Column, Column, Column]:
+    """(``scored`` joined with its sites, host rate, path rate without the document itself, posterior)."""
+    by_site = sites(scored.select(col(host).alias("host"), col(path).alias("path"), col(llr).alias("llr")), prior)
+    names = dict(zip(by_site.columns, fresh(scored.columns, *by_site.columns), strict=True))
+    at = {c: F.col(n) for c, n in names.items()}
+    on = col(host).eqNullSafe(at["host"]) & col(path).eqNullSafe(at["path"])
+    joined = scored.join(small(by_site.select(*(F.col(c).alias(n) for c, n in names.items()))), on)
+    own = 1 / (1 + F.exp(-(col(llr) + F.lit(math.log(prior / (1 - prior))))))
+    others = (at["docs"] - 1 + at["path_strength"]) * 1.0
+    rate = (at["path_rate"] * (at["docs"] + at["path_strength"]) - own) / others
+    rate = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), rate))
+    return joined, at["host_rate"], rate, 1 / (1 + F.exp(-(col(llr) + F.log(rate / (1 - rate)))))
 
 
 def classify(
@@ -153,19 +150,12 @@ def classify(
 ) -> DataFrame:
     """(doc_id, host, path, evidence, host_rate, path_rate, posterior, kept) of every row."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_labelled=max_labelled)
-    prior = _prior(labels, label_col)
-    scored = written(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"),
-            evidence(model, text_col).alias("llr"),
-        ),
-        "scores",
-    )
-    joined = _joined(scored.withColumn("__llr", F.col("llr")), F.col("host"), F.col("path"), sites(scored, prior))
-    rate, posterior = _posterior(prior)
+    picked = [col(c).alias(n) for c, n in ((id_col, "doc_id"), (host_col, "host"), (path_col, "path"))]
+    scored = written(docs.select(*picked, evidence(model, col(text_col)).alias("evidence")), "scores")
+    joined, host_rate, path_rate, posterior = _judged(scored, "host", "path", "evidence", _prior(labels, label_col))
     return joined.select(
-        "doc_id", "host", "path", F.col("llr").alias("evidence"), F.col("__host_rate").alias("host_rate"),
-        rate.alias("path_rate"), posterior.alias("posterior"), (posterior >= threshold).alias("kept"),
+        *(col(c) for c in scored.columns), host_rate.alias("host_rate"), path_rate.alias("path_rate"),
+        posterior.alias("posterior"), (posterior >= threshold).alias("kept"),
     )
 
 
@@ -179,10 +169,7 @@ def keep_good(
     which is cheaper than scoring twice and shuffles no text.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_labelled=max_labelled)
-    prior = _prior(labels, label_col)
-    scored = written(docs.withColumn("__llr", evidence(model, text_col)), "scored")
-    by_site = sites(
-        scored.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col("__llr").alias("llr")), prior
-    )
-    joined = _joined(scored, F.col(host_col), F.col(path_col), by_site)
-    return joined.filter(_posterior(prior)[1] >= threshold).select(*docs.columns)
+    (llr,) = fresh(docs.columns, "evidence")
+    scored = written(docs.withColumn(llr, evidence(model, col(text_col))), "scored")
+    joined, _, _, posterior = _judged(scored, host_col, path_col, llr, _prior(labels, label_col))
+    return joined.filter(posterior >= threshold).select(*(col(c) for c in docs.columns))

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from factloom.llm import quality
+from factloom.llm import linear, quality
 
 
 def corpus(n=1200):
@@ -66,3 +66,42 @@ def test_odd_rows(spark):
     assert len(got) == 5 and all(r.evidence == 0 and r.kept for r in got)
     assert quality.classify(docs.limit(0), none).count() == 0
     assert quality.keep_good(docs, none).count() == 5
+
+
+def test_odd_column_names(spark):
+    extra = ["__host", "__docs", "__rate", "__llr", "evidence", "host", "path", "docs", "a.b", "Path_Rate"]
+    rows = corpus(300)
+    docs = spark.createDataFrame([(*r[:4], *range(115, 115 + len(extra))) for r in rows], "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c}` long" for c in extra))
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < 300
+    assert all(tuple(r)[4:] == tuple(range(115, 115 + len(extra))) for r in kept.collect())
+
+
+def test_training_rows_are_bounded_whatever_ids_repeat(spark):
+    rows = [(i % 10, f"word{i} text number {i}", i % 2) for i in range(3000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    keys = spark.createDataFrame([(i, i % 2) for i in range(10)], "key long, label int")
+    picked = linear.one_text(docs, keys, "doc_id", "text")
+    assert picked.count() == 10
+    assert sorted(r.key for r in linear.sampled(docs.withColumnRenamed("doc_id", "key").select("key"), "key", 4).collect()) == sorted(
+        r.key for r in linear.sampled(docs.repartition(7).withColumnRenamed("doc_id", "key").select("key"), "key", 4).collect()
+    )
+    assert len(linear.bounded(np.arange(10000, dtype=np.int32), 100)) == 100
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Evidence from the model by itself, then sites and posteriors as the method defines them."""
+    rows = corpus(400)
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows if r[0] % 2], "doc_id long, quality int")
+    model, prior = quality.fit(docs, labels), quality._prior(labels, "quality")
+    llr = {r[0]: min(8.0, max(-8.0, model(r[1]))) for r in rows}
+    scored = spark.createDataFrame([(r[2], r[3], llr[r[0]]) for r in rows], "host string, path string, llr double")
+    site = {(r.host, r.path): r for r in quality.sites(scored, prior).collect()}
+    for got in quality.classify(docs, labels).collect():
+        s, z = site[got.host, got.path], llr[got.doc_id]
+        own = 1 / (1 + math.exp(-(z + math.log(prior / (1 - prior)))))
+        rate = min(1 - 1e-3, max(1e-3, (s.path_rate * (s.docs + s.path_strength) - own) / (s.docs - 1 + s.path_strength)))
+        posterior = 1 / (1 + math.exp(-(z + math.log(rate / (1 - rate)))))
+        assert abs(got.evidence - z) < 1e-9 and abs(got.posterior - posterior) < 1e-6 and got.kept == (got.posterior >= 0.5)

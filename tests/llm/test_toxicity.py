@@ -53,3 +53,46 @@ def test_risk_is_corrected_for_the_prior():
     active, w, v = toxicity.train(pos, unl, 0.3)
     score = dict(zip(active.tolist(), linear.sigmoid(w + v[0]), strict=True))
     assert score[1] > 0.9 and score[2] < 0.1
+
+
+def test_risk_and_gradients_equal_brute_force():
+    rng = np.random.default_rng(3)
+    sets = [[np.sort(rng.choice(12, rng.integers(1, 6), replace=False)).astype(np.int32) for _ in range(n)] for n in (9, 25)]
+    active = np.arange(0, 12, 2)
+    p, u = (linear.Design(rows, np.ones((len(rows), 1)), active) for rows in sets)
+    loss = lambda z, y: np.log1p(np.exp(-z if y else z))
+    for prior in (0.1, 0.45, 0.9):
+        x = [rng.standard_normal(len(active)), rng.standard_normal(1)]
+
+        def score(rows, x):
+            return [sum(x[0][k] for k, b in enumerate(active) if b in row) + x[1][0] for row in rows]
+
+        def parts(x):
+            zp, zu = score(sets[0], x), score(sets[1], x)
+            known = prior * sum(loss(z, 1) for z in zp) / len(zp)
+            return known, sum(loss(z, 0) for z in zu) / len(zu) - prior * sum(loss(z, 0) for z in zp) / len(zp)
+
+        zp, zu = p.dot(*x), u.dot(*x)
+        assert np.allclose(toxicity.risk(zp, zu, prior), parts(x))
+        goal = (lambda x: sum(parts(x))) if parts(x)[1] >= 0 else (lambda x: -parts(x)[1])
+        for k, got in enumerate(toxicity.gradients(p, u, x, prior, 0.0)):
+            for i in range(len(got)):
+                step = [v.copy() for v in x]
+                step[k][i] += 1e-6
+                up = goal(step)
+                step[k][i] -= 2e-6
+                assert abs(got[i] - (up - goal(step)) / 2e-6) < 1e-5
+
+
+def test_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(6)
+
+    def text(toxic):
+        words = rng.choice(200, 30, replace=False).tolist()
+        return np.array(sorted({*words, *(rng.choice(np.arange(200, 206), 3) if toxic else [])}), dtype=np.int32)
+
+    positive = [text(True) for _ in range(400)]
+    for share in (0.05, 0.2):
+        unlabelled = [text(i < share * 2000) for i in range(2000)]
+        found = toxicity.estimated_prior(positive, [unlabelled[i] for i in rng.permutation(2000)])
+        assert 0.75 * share < found < 1.5 * share
