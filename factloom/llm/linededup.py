@@ -7,10 +7,14 @@ only lines it suspects are shuffled (as digests, without text), counted exactly,
 enough documents hold keep their lines in the largest document id alone.
 
 Scale: what is dealt for all lines is 9 bytes a distinct key and batch, counted to two before the
-shuffle, so a line in a third of all documents costs one row a batch.  The filter handed to the
-tasks never exceeds ``max_filter_bytes``; a corpus that overfills it only sends more suspects to the
-exact count, and results stay exact.  Suspects are counted with partial aggregation; the join of
-suspects to repeated keys is a plain equi-join that AQE splits on skew.
+shuffle, so a line in a third of all documents costs one row a batch.  There are as many segments as
+the hashes need at ``BITS_PER_KEY`` bits each, so filters are never overfull; a task gets at most
+``max_filter_bytes`` of them at once, and a corpus with more is tested in passes over ranges of
+segments, each of which scans the texts again.  Suspects are counted with partial aggregation, so a
+hot line is a row a task.  No text is shuffled while the repeated keys fit in ``max_keys_bytes``:
+they are handed out, and each document drops its lines where it is.  Beyond that the documents that
+lose a line - known from a bit map of their ids, handed out - join their lost keys; the others stay
+where they are.
 
 Defined cases: a null or empty text is one empty line and its kept text is empty; rows with the same
 id are one document for counting; a null id counts as one document that keeps a line only if no
@@ -28,11 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, written
-
-#: Bits set for a hash, and room for a hash.
-PROBES, BITS_PER_KEY = 4, 16
-
+from .bloom import BITS_PER_KEY, holds, marked, places_of, set_bits
+from .common import col, fresh, trim, written
 
 def line_keys(text: str | None, min_chars: int) -> list[tuple[int, bytes]]:
     """(line number, key) of the lines long enough to be compared.
@@ -53,42 +54,28 @@ def line_keys(text: str | None, min_chars: int) -> list[tuple[int, bytes]]:
     return found
 
 
-def _places(hashes: np.ndarray, segments: int, segment_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment of each hash, and the bits (hash x probe) it sets there."""
-    h = hashes.view(np.uint64)
-    segment = ((h >> np.uint64(48)) % np.uint64(segments)).astype(np.int64)
-    low = h & np.uint64((1 << 48) - 1)
-    step = (h >> np.uint64(23)) | np.uint64(1)
-    bits = low[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)
-    return segment, (bits % np.uint64(segment_bits)).astype(np.int64)
-
-
-def _holds(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return ((bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=1)
-
+def digest(key: bytes) -> bytes:
+    """128 bits that stand for a key where rows are counted exactly."""
+    return hashlib.blake2b(key, digest_size=16).digest()
 
-def _set(bits: np.ndarray, places: np.ndarray) -> None:
-    flat = places.ravel()
-    np.bitwise_or.at(bits, flat >> 3, np.left_shift(1, flat & 7).astype(np.uint8))
 
-
-def seen_again(docs: DataFrame, text_col: str, min_chars: int, max_filter_bytes: int, segment_bits: int) -> np.ndarray:
-    """The filter of hashes seen in more than one row: (segments, bytes) of uint8."""
+def seen_again(docs: DataFrame, text_col: str, min_chars: int, segment_bits: int) -> tuple[DataFrame, int]:
+    """(filters(segment, bits), segments): the filters of hashes seen in more than one row; segments
+    without any are left out."""
 
     def hashed(batches):
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 rows = [
                     np.unique(np.array([xxhash.xxh64_intdigest(k) for _, k in line_keys(t, min_chars)], dtype=np.uint64))
-                    for t in batch[text_col].iloc[lo : lo + 1024]
+                    for t in batch["text"].iloc[lo : lo + 1024]
                 ]
                 h, n = np.unique(np.concatenate(rows), return_counts=True)
                 yield pd.DataFrame({"hash": h.view(np.int64), "n": np.minimum(n, 2).astype(np.int8)})
         trim()
 
-    hashes = written(docs.select(text_col).mapInPandas(hashed, "hash long, n tinyint"), "lines")
-    most = max(1, max_filter_bytes * 8 // segment_bits)
-    segments = min(most, max(1, -(-hashes.count() * BITS_PER_KEY // segment_bits)))
+    hashes = written(docs.select(col(text_col).alias("text")).mapInPandas(hashed, "hash long, n tinyint"), "lines")
+    segments = max(1, -(-hashes.count() * BITS_PER_KEY // segment_bits))
 
     def fill(batches):
         once: dict[int, np.ndarray] = {}
@@ -96,112 +83,160 @@ def seen_again(docs: DataFrame, text_col: str, min_chars: int, max_filter_bytes:
         for batch in batches:
             h, where = np.unique(batch["hash"].to_numpy(), return_inverse=True)
             n = np.bincount(where, weights=batch["n"].to_numpy())
-            segment, places = _places(h, segments, segment_bits)
+            segment, places = places_of(h, segments, segment_bits)
             for s in np.unique(segment).tolist():
                 if s not in once:
                     once[s] = np.zeros(segment_bits // 8, dtype=np.uint8)
                     twice[s] = np.zeros(segment_bits // 8, dtype=np.uint8)
                 mine = segment == s
                 at = places[mine]
-                again = _holds(once[s], at) | (n[mine] > 1)
-                _set(twice[s], at[again])
-                _set(once[s], at)
+                again = holds(once[s], at) | (n[mine] > 1)
+                set_bits(twice[s], at[again])
+                set_bits(once[s], at)
         for s, bits in twice.items():
-            yield pd.DataFrame({"segment": [s], "bits": [bits.tobytes()]})
+            if bits.any():
+                yield pd.DataFrame({"segment": [s], "bits": [bits.tobytes()]})
 
-    segment = F.pmod(F.shiftrightunsigned("hash", 48), F.lit(segments)).cast("int")
+    segment = F.pmod(F.shiftrightunsigned("hash", 40), F.lit(segments)).cast("int")
     filled = hashes.withColumn("segment", segment)
-    filled = filled.repartition(min(segments, 4096), "segment").select("hash", "n")
-    filled = filled.mapInPandas(fill, "segment int, bits binary")
-    bits = np.zeros((segments, segment_bits // 8), dtype=np.uint8)
-    for row in filled.collect():  # segments x 128 KB, at most max_filter_bytes
-        bits[row.segment] |= np.frombuffer(row.bits, dtype=np.uint8)
-    return bits
+    filled = filled.repartition(min(segments, 65536), "segment").select("hash", "n")
+    return written(filled.mapInPandas(fill, "segment int, bits binary"), "filters"), segments
 
 
-def repeated_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5,
-    max_filter_bytes: int = 64 << 20, segment_bits: int = 1 << 20,
+def suspected(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, max_filter_bytes: int = 64 << 20,
+    segment_bits: int = 1 << 20,
 ) -> DataFrame:
-    """(doc_id, text_hash, lines): the numbers of the lines that each document loses."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(seen_again(docs, text_col, min_chars, max_filter_bytes, segment_bits))
+    """(doc_id, digest), written: the distinct keys of each row that the filters suspect of repeating."""
+    filters, segments = seen_again(docs, text_col, min_chars, segment_bits)
+    step = max(1, max_filter_bytes * 8 // segment_bits)
+    found = None
+    for lo in range(0, segments, step):  # a scan for each range of segments that is handed out at once
+        width = min(step, segments - lo)
+        bits = np.zeros((width, segment_bits // 8), dtype=np.uint8)
+        for row in filters.filter(F.col("segment").between(lo, lo + width - 1)).toLocalIterator():
+            bits[row.segment - lo] = np.frombuffer(row.bits, dtype=np.uint8)
+        one = written(_suspects(docs, id_col, text_col, min_chars, bits, lo, segments, segment_bits), "suspects")
+        found = one if found is None else found.unionByName(one)
+    return found
 
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def suspects(batches):
-        again = shared.value
-        for batch in batches:
-            rows = []
-            for doc_id, text, text_hash in zip(batch["doc_id"], batch["text"], batch["text_hash"], strict=True):
-                keys = line_keys(text, min_chars)
-                if not keys:
-                    continue
-                h = np.array([xxhash.xxh64_intdigest(k) for _, k in keys], dtype=np.uint64)
-                segment, places = _places(h, len(again), segment_bits)
-                held = ((again[segment[:, None], places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=1)
-                if held.any():
-                    mine: dict[bytes, list[int]] = {}
-                    for (n, key), hit in zip(keys, held, strict=True):
-                        if hit:
-                            mine.setdefault(key, []).append(n)
-                    rows += [(doc_id, text_hash, hashlib.sha256(k).digest(), at) for k, at in mine.items()]
-            out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "digest", "lines"])
-            out["doc_id"] = out["doc_id"].astype("Int64") if id_type == "bigint" else out["doc_id"]
-            yield out
-        trim()
+def _suspects(docs: DataFrame, id_col: str, text_col: str, min_chars: int, bits: np.ndarray, first: int, segments: int, segment_bits: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("array<binary>")
+    def suspects(texts: pd.Series) -> pd.Series:
+        again, out = shared.value, []
+        for text in texts:
+            keys = list({k for _, k in line_keys(text, min_chars)})
+            if keys:
+                h = np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64)
+                segment, places = places_of(h, segments, segment_bits)
+                segment -= first
+                inside = (segment >= 0) & (segment < len(again))
+                row = np.where(inside, segment, 0)
+                held = inside & ((again[row[:, None], places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=1)
+                keys = [digest(k) for k, hit in zip(keys, held, strict=True) if hit]
+            out.append(keys)
+        return pd.Series(out, dtype=object)
+
+    rows = docs.select(col(id_col).alias("doc_id"), suspects(col(text_col)).alias("digests"))
+    return rows.select("doc_id", F.explode("digests").alias("digest"))
+
 
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")
-    ).mapInPandas(suspects, f"doc_id {id_type}, text_hash long, digest binary, lines array<int>")
-    rows = written(rows, "suspects")
+def repeated_keys(suspects: DataFrame, min_docs: int) -> DataFrame:
+    """(digest, keeper), written: keys that at least ``min_docs`` documents hold, and the largest of their ids."""
     # one row a document and key first, so that the exact count needs no set of ids
-    held = rows.groupBy("digest", "doc_id").agg(F.lit(1).alias("one"))
+    held = suspects.groupBy("digest", "doc_id").agg(F.lit(1).alias("one"))
     keys = held.groupBy("digest").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
-    # written, so that both sides of the join are exchanged and a hot key's suspects can be split
-    keys = written(keys.filter(F.col("docs") >= min_docs).select("digest", "keeper"), "keys")
-    lost = rows.join(keys, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    lost = lost.dropDuplicates(["doc_id", "text_hash", "digest"])
-    return written(
-        lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines")), "lost"
-    )
+    return written(keys.filter(F.col("docs") >= min_docs).select("digest", "keeper"), "keys")
+
+
+def _without(text: str | None, min_chars: int, gone) -> tuple[str, int]:
+    """(text without the lines whose digest ``gone`` accepts, how many these are)."""
+    if not isinstance(text, str):
+        return "", 0
+    lost = {n for n, key in line_keys(text, min_chars) if gone(digest(key))}
+    if not lost:
+        return text, 0
+    return "\n".join([x for n, x in enumerate(text.split("\n")) if n not in lost]), len(lost)
 
 
 def deduplicate(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5,
-    max_filter_bytes: int = 64 << 20, segment_bits: int = 1 << 20, counts: bool = False,
+    max_filter_bytes: int = 64 << 20, segment_bits: int = 1 << 20, max_keys_bytes: int = 64 << 20, counts: bool = False,
 ) -> DataFrame:
     """``docs`` with ``text_col`` without its repeated lines, the others joined by a line feed.
 
     ``counts`` adds n_lines (before) and n_dropped.
     """
-    lost = repeated_lines(
-        docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs,
-        max_filter_bytes=max_filter_bytes, segment_bits=segment_bits,
-    ).select(
-        F.col("doc_id").alias("__lost_id"), F.col("text_hash").alias("__lost_hash"), F.col("lines").alias("__lost")
+    context = docs.sparkSession.sparkContext
+    suspects = suspected(
+        docs, id_col=id_col, text_col=text_col, min_chars=min_chars, max_filter_bytes=max_filter_bytes, segment_bits=segment_bits,
     )
-
-    @F.pandas_udf("string")
-    def without(text: pd.Series, lost: pd.Series) -> pd.Series:
-        out = []
-        for t, numbers in zip(text, lost, strict=True):
-            if not isinstance(t, str):
-                t = ""
-            elif numbers is not None and len(numbers):
-                gone = set(np.asarray(numbers).tolist())
-                t = "\n".join([x for n, x in enumerate(t.split("\n")) if n not in gone])
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    on = F.col(id_col).eqNullSafe(F.col("__lost_id")) & (F.xxhash64(text_col) == F.col("__lost_hash"))
-    # a merge join whatever the size: how the plan grows is then the same everywhere
-    joined = docs.join(lost.hint("merge"), on, "left")
-    out = [without(text_col, "__lost").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    keys = repeated_keys(suspects, min_docs)
+    named = keys.select("digest", F.col("keeper").cast("string").alias("keeper"))
+    size = named.agg(F.sum(F.lit(64) + F.coalesce(F.octet_length("keeper"), F.lit(0)))).first()[0] or 0
+    result = "text string, dropped long"
+    lost, done = fresh(docs.columns, "lost", "done")
+    text = col(text_col)
+    if size <= max_keys_bytes:
+        pairs = sorted((bytes(r.digest), r.keeper) for r in named.toLocalIterator())
+        starts = np.zeros(1 << 21, dtype=np.uint8)  # which first three bytes any key has
+        for d, _ in pairs:
+            starts[int.from_bytes(d[:3]) >> 3] |= 1 << (d[2] & 7)
+        shared = context.broadcast((starts.tobytes(), b"".join(d for d, _ in pairs), [k for _, k in pairs]))
+
+        @F.pandas_udf(result)
+        def kept(texts: pd.Series, ids: pd.Series) -> pd.DataFrame:
+            starts, raw, keepers = shared.value
+
+            def gone(own: str | None):
+                def test(d: bytes) -> bool:
+                    if not starts[int.from_bytes(d[:3]) >> 3] >> (d[2] & 7) & 1:
+                        return False
+                    at = _find(raw, d, len(keepers))
+                    return at is not None and keepers[at] != own
+
+                return test
+
+            rows = [_without(t, min_chars, gone(i)) for t, i in zip(texts, ids, strict=True)]
+            return pd.DataFrame(rows, columns=["text", "dropped"])
+
+        out = docs.withColumn(done, kept(text, col(id_col).cast("string")))
+    else:
+        own, these = fresh([*docs.columns, lost, done], "own", "these")
+        rows = suspects.join(keys, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        rows = written(rows.select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.collect_list("digest").alias("digests")), "lost")
+        loses = marked(rows.select(F.xxhash64("doc_id").alias("hash")), max_keys_bytes)
+
+        @F.pandas_udf(result)
+        def stripped(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+            held = [frozenset() if g is None else frozenset(map(bytes, g)) for g in gone]
+            return pd.DataFrame([_without(t, min_chars, g.__contains__) for t, g in zip(texts, held, strict=True)], columns=["text", "dropped"])
+
+        flagged = docs.withColumn(lost, loses(F.xxhash64(col(id_col))))
+        whole = flagged.filter(~F.col(lost)).drop(lost).withColumn(done, F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(0).cast("long").alias("dropped")))
+        named = rows.select(F.col("doc_id").alias(own), F.col("digests").alias(these))
+        cut = flagged.filter(F.col(lost)).drop(lost).join(named, col(id_col).eqNullSafe(F.col(own)), "left")
+        out = whole.unionByName(cut.withColumn(done, stripped(text, F.col(these))).drop(own, these))
+    columns = [F.col(f"{done}.text").alias(c) if c == text_col else col(c) for c in docs.columns]
     if counts:
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        out += [
-            (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"),
-            F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias("n_dropped"),
+        whole_text = F.coalesce(text, F.lit(""))
+        columns += [
+            (F.length(whole_text) - F.length(F.replace(whole_text, F.lit("\n"))) + 1).cast("long").alias("n_lines"),
+            F.col(f"{done}.dropped").alias("n_dropped"),
         ]
-    return joined.select(*out)
+    return out.select(*columns)
+
+
+def _find(sorted_digests: bytes, wanted: bytes, n: int) -> int | None:
+    """Place of a digest among ``n`` sorted ones laid end to end."""
+    lo, hi = 0, n
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if sorted_digests[16 * mid : 16 * mid + 16] < wanted:
+            lo = mid + 1
+        else:
+            hi = mid
+    return lo if lo < n and sorted_digests[16 * lo : 16 * lo + 16] == wanted else None

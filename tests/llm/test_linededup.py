@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 from factloom.llm import linededup
 
@@ -46,8 +47,37 @@ def test_equals_brute_force(spark):
     assert linededup.deduplicate(docs.limit(0)).count() == 0
 
 
-def test_overfull_filter_stays_exact(spark):
+def digests(frame):
+    return sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in frame.collect()), key=str)
+
+
+def test_passes_and_handed_out_keys_do_not_change_the_rows(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string")
-    got = linededup.deduplicate(docs, counts=True, max_filter_bytes=8, segment_bits=64).collect()
-    found = sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in got), key=str)
-    assert found == brute(rows())
+    want = brute(rows())
+    # a filter of one segment a pass; keys too many to hand out; both, and a bit map of ids that is full
+    for options in ({"max_filter_bytes": 8, "segment_bits": 64}, {"max_keys_bytes": 0}, {"max_filter_bytes": 8, "segment_bits": 64, "max_keys_bytes": 1}):
+        assert digests(linededup.deduplicate(docs, counts=True, **options)) == want
+
+
+def test_filters_grow_with_the_corpus(spark):
+    """Four times as many lines as one handed-out filter has room for: hardly more suspects than repeats."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choices("abcdefgh", k=48)) for _ in range(9000)]
+    docs = spark.createDataFrame([(i, lines[i]) for i in range(9000)] + [(10000 + i, lines[i]) for i in range(100)], "doc_id long, text string")
+    room = {"segment_bits": 1 << 12, "max_filter_bytes": 9000 * linededup.BITS_PER_KEY // 8 // 4}
+    found = linededup.suspected(docs, **room)
+    assert found.select("digest").distinct().count() <= 100 + 9000 // 50
+    repeated = {linededup.digest(x.encode()) for x in lines[:100]}
+    assert repeated <= {bytes(r.digest) for r in found.collect()}
+    assert linededup.repeated_keys(found, 2).count() == 100
+
+
+def test_odd_column_names(spark):
+    extra = ["__lost", "__lost_id", "lost", "done", "own", "these", "a.b", "Digest", "t`x"]
+    names = ", ".join(f"`{c.replace('`', '``')}` long" for c in extra)
+    docs = spark.createDataFrame([(i, t, *range(len(extra))) for i, t in rows()], f"doc_id long, text string, {names}")
+    for options in ({}, {"max_keys_bytes": 0}):
+        got = linededup.deduplicate(docs, counts=True, **options)
+        assert got.columns[: len(docs.columns)] == docs.columns
+        assert all(tuple(r[c] for c in extra) == tuple(range(len(extra))) for r in got.collect())
+        assert digests(got) == brute(rows())
