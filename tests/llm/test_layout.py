@@ -32,6 +32,21 @@ from factloom.llm import layout
         ("a < b <1 >c", "a < b <1 >c"),
         ("x<!-- open", "x"),
         ("<a href='a>b'>link</a>", "link"),
+        ("<div>" * 119 + "<p hidden>secret</p><p style='display:none'>hid</p>x", "x"),
+        ("<div>" * 500 + "<table><tr><td>ab<td>c<tr><td>d<td>e</table><ul><li>f</ul>", "ab  c\nd   e\n\n  * f"),
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+        ("<table><tr><td>a<td rowspan=0>r<td>b<tr><td>c<td>d<tr><td>e</table>", "a  r  b\nc     d\ne"),
+        ("<table><tr><td rowspan=3>x<td colspan=2 rowspan=2>yy<td>z<tr><td>1<tr><td>2<td>3<td>4</table>", "x  yy    z\n         1\n   2  3  4"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+        ("<div style='display:none'>no <b style='display:block'>no</b></div>yes", "yes"),
+        ("<style>.h{display:none} p.k, #i{ visibility:hidden; }</style><p class='x h'>no<p class=k>no<div class=k>yes</div><i id=i>no</i>", "yes"),
+        ("<style>i{display:none}</style><style>.s{display:inline}#t{display:none}</style><i>no</i><i class=s>yes</i><i class=s id=t>no</i>", "yes"),
+        ("<style>b{display:none !important} .o{display:inline}</style><b class=o>no</b><b style='display:inline'>no</b><b style='display:inline!important'>yes</b>", "yes"),
+        ("<style>/* p{display:none} */ @media print{p{display:none}} div p{display:none} p:hover{display:none}</style><p>yes", "yes"),
+        ("<style>.a{display:block}</style><p hidden>no</p><p hidden class=a>yes</p>", "yes"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>Sales</text><text x=1>2024</text><path d='M0'/></svg> total", "Sales 2024 total"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"),
+        ("<table><tr><td>" + "long words here " * 6 + "<td>b<tr><td>s<td>c</table>", "\n".join([("long words here " * 3 + "long words").ljust(58) + "  b", "here " + "long words here " * 2, "s".ljust(58) + "  c"]).replace(" \n", "\n").rstrip()),
         ("<td>loose</td></div></p>tail", "loose\ntail"),
     ],
 )
@@ -109,3 +124,79 @@ def test_odd_rows(spark):
     assert sorted((str(r.page_id), len(r.text)) for r in got) == sorted([("1", 1), ("1", 1), ("2", 0), ("None", 0), ("3", 20000 * 3 - 2)])
     assert re.fullmatch(r"z(\n\nz)*", next(r.text for r in got if r.page_id == 3))
     assert layout.extract(pages.limit(0)).count() == 0
+
+
+def drawn_by_cells(grid):
+    """Brute force: a table of (row, column, rows, columns, text) on a character canvas."""
+    at, x = {}, 0
+    columns = 1 + max(c + w - 1 for _, c, _, w, _ in grid)
+    for c in range(columns):
+        at[c] = x
+        wide = max((len(t) for _, k, _, w, t in grid if k == c and w == 1), default=0)
+        x += wide + 2 if wide else 0
+    lines = {}
+    for r, c, _, _, t in sorted(grid):
+        line = lines.get(r, "").ljust(at[c])
+        lines[r] = line + ("  " if line and not line.endswith("  ") else "") + t if t else lines.get(r, "")
+    return "\n".join(lines[r].rstrip() for r in sorted(lines))
+
+
+def test_tables_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(200):
+        height, width = rng.randrange(1, 6), rng.randrange(1, 6)
+        taken, grid, html = set(), [], "<table>"
+        for r in range(height):
+            html += "<tr>"
+            for c in range(width):
+                if (r, c) in taken:
+                    continue
+                high, wide = rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 1, 2])
+                high = min(high, height - r)
+                while c + wide > width or any((r, c + k) in taken for k in range(wide)):
+                    wide -= 1
+                taken |= {(r + i, c + k) for i in range(high) for k in range(wide)}
+                text = "".join(rng.choices("abcdef", k=rng.randrange(1, 9)))
+                grid.append((r, c, high, wide, text))
+                html += f"<td rowspan={high} colspan={wide}>{text}</td>"
+            html += "</tr>"
+        assert layout.render(html + "</table>") == drawn_by_cells(grid), html
+
+
+def test_lists_and_blocks_equal_brute_force():
+    rng = random.Random(13)
+
+    def items(depth):
+        return [(f"w{rng.randrange(99)}", items(depth + 1) if depth < 4 and rng.random() < 0.4 else None, rng.random() < 0.5) for _ in range(rng.randrange(1, 4))]
+
+    def written(rows, ordered):
+        tag = "ol" if ordered else "ul"
+        return f"<{tag}>" + "".join(f"<li>{t}{written(sub, o) if sub else ''}</li>" for t, sub, o in rows) + f"</{tag}>"
+
+    def lines(rows, ordered, indent):
+        for n, (text, sub, o) in enumerate(rows, 1):
+            mark = f"{n}. " if ordered else "* "
+            yield indent + "  " + mark + text
+            if sub:
+                yield from lines(sub, o, indent + "  " + " " * len(mark))
+
+    for _ in range(100):
+        parts, want = [], []
+        for _ in range(rng.randrange(1, 5)):
+            rows, ordered = items(0), rng.random() < 0.5
+            parts += [written(rows, ordered), f"<p>p{len(parts)}</p>", f"<div>d{len(parts)}</div>"]
+            want += ["\n".join(lines(rows, ordered, "")), f"p{len(parts) - 3}", f"d{len(parts) - 3}"]
+        text, out = "".join(parts), []
+        for k, w in enumerate(want):  # lists and paragraphs have a blank line around them, plain blocks none of their own
+            out.append(w)
+        assert layout.render(text) == "\n\n".join(out), text
+
+
+def test_any_depth_by_the_same_rules():
+    began = time.time()
+    deep = 30000
+    assert layout.render("<div>" * deep + "<p hidden>no</p><p>yes</p>" + "</div>" * deep) == "yes"
+    assert layout.render("<table><tr><td>" * 3000 + "in" + "</table>" * 3000) == "in"
+    layout.render("<p>" + "<table><tr><td>" + "<div>" * deep + "</x>" * deep + "<div>" * deep)
+    layout.render("<b>" * deep + "</i>" * deep)
+    assert time.time() - began < 20
