@@ -89,3 +89,9 @@ def split_apis(apis: DataFrame, keywords: DataFrame, actions: DataFrame) -> Data
     hits = parts.join(kinds, "name")
     pick = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("name"))))
     return hits.groupBy("api").agg(pick("k").alias("keywords"), pick("a").alias("actions"))
+
+
+def effective(keyword_matches: DataFrame, api_matches: DataFrame) -> DataFrame:
+    """One row: distinct keywords and API names that any unit holds."""
+    rows = keyword_matches.select("name", F.lit(0).alias("k")).union(api_matches.select("name", F.lit(1).alias("k"))).distinct()
+    return rows.agg(F.count_if(F.col("k") == 0).alias("keywords"), F.count_if(F.col("k") == 1).alias("functions"))

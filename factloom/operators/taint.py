@@ -23,7 +23,7 @@ def call_flows(calls: DataFrame, args: DataFrame, summaries: DataFrame) -> DataF
     known = calls.join(summaries.filter("effect = 'propagate'").withColumnRenamed("fn", "callee"), "callee")
     source = args.select("bin", "call_addr", F.col("pos").alias("s_pos"), F.col("var").alias("src"))
     target = args.select("bin", "call_addr", F.col("pos").alias("dst_pos"), F.col("var").alias("dst"))
-    hits = known.join(source, ["bin", "call_addr"]).filter("s_pos = src_pos OR (src_pos = -1 AND s_pos > dst_pos)")
+    hits = known.join(source, ["bin", "call_addr"]).filter("(src_pos >= 0 AND s_pos = src_pos) OR (src_pos = -1 AND s_pos > dst_pos)")
     return hits.join(target, ["bin", "call_addr", "dst_pos"]).select("bin", "src", "dst").distinct()
 
 

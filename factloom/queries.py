@@ -33,10 +33,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import fact_queries  # noqa: F401  it registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import fact_queries  # noqa: F401
+
     return dict(_SQL)
 
 
