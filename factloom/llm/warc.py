@@ -7,7 +7,8 @@ range exits, from the start of each file, finds where the true chain enters ever
 that the chain does not reach are magic inside payloads and are put back into the record around them.
 
 Scale: ranges are Spark's own file splits, so a file of any size is read by many tasks and from any
-store Spark reads.  What is shuffled is one row of offsets a candidate; rounds are the logarithm of
+store Spark reads; their size is fixed when a read begins, so that every scan meets the same ranges
+whatever executors or settings change meanwhile.  What is shuffled is one row of offsets a candidate; rounds are the logarithm of
 the ranges a file has.  Payloads move only for records that hold a false magic.  Duplicates are
 found on digests; pages are joined with their verdicts by broadcast if those are few, and a payload
 shared by a third of all pages is one partial aggregate a task and a splittable join.
@@ -27,11 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small, written
+from .common import col, new_path, small, written
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 _D, _E = len(MAGIC), len(END)
 _LENGTH = re.compile(rb"^Content-Length:[ \t]*(\d{1,15})[ \t]*\r?$", re.I | re.M)
+#: Bytes of a range at least and at most.
+RANGE_BYTES = (1 << 20, 128 << 20)
 #: No offset: the chain breaks here.
 DEAD = -1
 
@@ -64,8 +67,8 @@ def write(
 ) -> None:
     """One record a row of ``pages`` under ``path``; equal payloads are stored once."""
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
-        F.coalesce(F.col(html_col), F.lit("")).alias("html"),
+        col(id_col).cast("long").alias("page_id"), col(url_col).alias("url"),
+        F.coalesce(col(html_col), F.lit("")).alias("html"),
     )
     later = revisits(rows, min_bytes)
     later = small(later.select(F.col("page_id").alias("r_id"), F.col("key").alias("r_key"), "refers_to"))
@@ -90,6 +93,27 @@ def write(
     rows.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
+def _pinned(spark: SparkSession, path: str, range_bytes: int | None) -> SparkSession:
+    """A session of its own over the same cluster, whose scans of ``path`` always split files alike.
+
+    Spark takes the size of a split from the session's settings and the cores it has at that moment; here
+    it is set once, so that every scan, however late and whatever executors come and go, meets the same
+    ranges.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    if range_bytes is None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        held = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+        range_bytes = min(RANGE_BYTES[1], max(RANGE_BYTES[0], held // (4 * spark.sparkContext.defaultParallelism)))
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(range_bytes))
+    own.conf.set("spark.sql.files.openCostInBytes", "0")
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    return own
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """What stands between one magic and the next, in order within each byte range."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
@@ -281,8 +305,12 @@ def _numbered(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(number, "file string, block long, at long, value binary")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every record under ``path``: file, offset of its magic, type, ids, address, digest, payload."""
+def read(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """Every record under ``path``: file, type, ids, address, digest, payload.
+
+    ``range_bytes``: of the byte ranges; by default so many that every core gets about four.
+    """
+    spark = _pinned(spark, path, range_bytes)
     links = chain(_pieces(spark, path))
     inside = written(links.filter("owner IS NOT NULL AND off <> owner"), "inside")
     torn = written(  # pieces that are not a whole record: before the first, or with false magic in them
@@ -308,7 +336,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(
-    pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", min_bytes: int = 0
+    pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", min_bytes: int = 0,
+    range_bytes: int | None = None,
 ) -> DataFrame:
     """Writes ``pages`` as archives and reads them back: page_id, payload_bytes, payload_digest,
     record_type, refers_to; for revisits size and digest are those of the response they refer to."""
@@ -317,7 +346,7 @@ def round_trip(
     write(pages, path, id_col=id_col, html_col=html_col, url_col=url_col, min_bytes=min_bytes)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     records = written(
-        read(spark, path).select(
+        read(spark, path, range_bytes).select(
             number("record_id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"),
             base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"),
             F.substring_index("declared_digest", ":", -1).alias("declared"),

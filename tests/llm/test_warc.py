@@ -32,19 +32,33 @@ def brute(table, min_bytes=0):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("split", [None, "600", "4000"])
+@pytest.mark.parametrize("split", [None, 600, 4000])
 def test_round_trip_equals_brute_force(spark, split):
     pages = spark.createDataFrame([r + ("c",) for r in rows()], "page_id long, url string, html string, value string")
     pages = pages.repartition(3, F.coalesce("page_id", F.lit(0)))
-    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
-        spark.conf.set(key, split) if split else spark.conf.unset(key)
+    for least in (0, 300):
+        got = warc.round_trip(pages, min_bytes=least, range_bytes=split).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute(rows(), least)
+
+
+def test_settings_may_change_between_plan_and_action(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    warc.write(spark.createDataFrame(rows(), "page_id long, url string, html string").repartition(2), path)
+    found = warc.read(spark, path, 700)
+    keys = {"spark.sql.files.maxPartitionBytes": "333", "spark.sql.files.minPartitionNum": "50", "spark.sql.files.openCostInBytes": "100"}
     try:
-        for least in (0, 300):
-            got = warc.round_trip(pages, min_bytes=least).collect()
-            assert sorted((tuple(r) for r in got), key=str) == brute(rows(), least)
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        # also as the other side of a plan of the caller's own session
+        ids = spark.range(1).select(F.lit("<urn:page:1>").alias("record_id"))
+        assert ids.join(found, "record_id").count() == 1
+        got = found.collect()
     finally:
-        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        for key in keys:
             spark.conf.unset(key)
+    texts = {(f"<urn:page:{'null' if i is None else i}>", (h or "").encode()) for i, _, h in rows()}
+    assert len(got) == len(rows())
+    assert all(r.record_type == "revisit" or (r.record_id, bytes(r.payload)) in texts for r in got)
 
 
 def test_payloads_come_back_whole_and_fakes_are_no_records(spark, tmp_path):
