@@ -100,3 +100,14 @@ def test_growing_mix_drops_no_document(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
     got = mixing.mix(docs, docs.select("doc_id").filter("doc_id % 2 = 0"), grow=True).collect()
     assert min(r.rate for r in got) >= 1 and min(r.copies for r in got) >= 1
+
+
+def test_odd_column_names(spark):
+    extra = ["__id", "__hash", "__copies", "key", "digest", "copies", "a.b", "domain", "P"]
+    rows = corpus(80)
+    docs = spark.createDataFrame([(*r, *range(len(extra))) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"`{c}` long" for c in extra))
+    labels = docs.select("doc_id").filter("doc_id % 2 = 0")
+    out = mixing.mixed(docs, labels, grow=True)
+    assert out.columns == docs.columns
+    assert all(tuple(r)[3:] == tuple(range(len(extra))) for r in out.collect())
+    assert Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: r.copies for r in mixing.mix(docs, labels, grow=True).collect()})
