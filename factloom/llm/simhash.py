@@ -35,7 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, trim, written
+from .bloom import marked
+from .common import col, components, fits, fresh, small, trim, written
 
 BITS = 64
 SHINGLE = 5
@@ -82,7 +83,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         trim()
 
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")
+        col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_hash")
     )
     return rows.mapInPandas(scan, f"doc_id {id_type}, text_hash long, fp long, shingles long")
 
@@ -196,23 +197,38 @@ def links(
     first = _first_meeting(F.expr("a ^ b"), F.col("at"), cuts)
     found = left.join(right, on).filter(F.col("a") < F.col("b")).filter(near & first).select("a", "b")
 
+    firsts = {first + turn for first, width in cuts for turn in range(min(orders, width))}
+
     def span(key, group):
-        if orders > 1:  # key[0] is the wiped bit
-            odd = np.uint64(2 * (int(key[0]) % orders) + 0x9E3779B97F4A7C15)
-            group = group.iloc[np.argsort(group["fp"].to_numpy().view(np.uint64) * odd, kind="stable")]
-        sizes = group["size"].to_numpy() if ratio else None
-        a, b = forest(group["fp"].to_numpy(), sizes, max_bits, ratio)
-        return pd.DataFrame({"a": a, "b": b})
+        """Links that connect what is linked inside a bucket.  Members that agree in the whole segment meet in
+        every wiped variant of it: only those of its first bits connect them, one for each order, the others
+        only link members that differ in the wiped bit.  So a large group gives a few rows a member, not one
+        for each variant."""
+        none = pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
+        at = int(key[0])
+        fps = group["fp"].to_numpy()
+        side = (fps >> at) & 1
+        if at not in firsts and side.min() == side.max():
+            return none
+        if ratio and not (group["step"] == key[2]).any():
+            return none  # all one step below: they meet in their own step's bucket
+        odd = np.uint64(2 * (at % orders) + 0x9E3779B97F4A7C15)  # the same order wherever members meet
+        order = np.argsort(fps.view(np.uint64) * odd, kind="stable")
+        sizes = group["size"].to_numpy()[order] if ratio else None
+        a, b = forest(fps[order], sizes, max_bits, ratio)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        kept = (((a ^ b) >> at) & 1 == 1) | (at in firsts)
+        return pd.DataFrame({"a": a[kept], "b": b[kept]})
 
     def spanned(rows: DataFrame, on: list[str]) -> DataFrame:
-        return rows.select(*on, *keep[:2]).groupBy(*on).applyInPandas(span, "a long, b long")
+        return rows.select(*on, *keep).groupBy(*on).applyInPandas(span, "a long, b long")
 
     many = shared.filter(F.col("n") > crowd)
-    if many.limit(1).count():
+    if not many.isEmpty():
         found = found.union(spanned(many.filter(F.col("n") <= hot), on))
         huge = many.filter(F.col("n") > hot)
         # outside the shared segment at most max_bits bits differ, so the same cut holds once more
-        for own in cuts if huge.limit(1).count() else []:
+        for own in cuts if not huge.isEmpty() else []:
             rest = [c for c in cuts if c != own] or cuts
             parts = -(-(max_bits // 2 + 1) // len(rest))
             others = [(at + a, w) for at, width in rest for a, w in _cuts(parts, width)]
@@ -270,7 +286,7 @@ def near_duplicates(
     classes = written(prints.groupBy("fp").agg(*least), "classes")
     if similar is not None:
         found = links(classes, max_bits, hot, ratio, crowd, ORDERS)
-        texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+        texts = docs.select(F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
         roots = components(verified(prints, found, texts, similar)).withColumnRenamed("node", "text_hash")
         own = prints.groupBy("text_hash").agg(F.min("doc_id").alias("least")).join(roots, "text_hash", "left")
         own = own.withColumn("root", F.coalesce("root", "text_hash"))
@@ -288,14 +304,38 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row of ``docs`` for each component, that of the smallest id, with its own columns."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    stays = found.groupBy("root").agg(first).select(
-        F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")
-    )
-    stays = written(stays, "stays")
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
-    kept = docs.join(stays, on, "left_semi")
-    if found.groupBy("doc_id", "text_hash").count().filter("count > 1").join(
-        stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi"
-    ).limit(1).count():
-        kept = kept.dropDuplicates([id_col, text_col])  # a kept row that is repeated as it is
-    return kept
+    stays = written(found.groupBy("root").agg(first).select("first.doc_id", "first.text_hash"), "stays")
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    kept = stays.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("d"), F.lit(True).alias("stays"))
+    on = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("d"))
+    verdicts = written(rows.join(kept, on, "left").select("doc_id", "text_hash", "rows", F.col("stays").isNotNull().alias("stays")), "verdicts")
+    # texts are moved only for rows that a bit map takes for ones that go, and not even these if few go
+    key, digest, maybe = fresh(docs.columns, "key", "digest", "maybe")
+    names = [F.col("doc_id").alias(key), F.col("text_hash").alias(digest)]
+    gone = written(verdicts.filter("NOT stays").select(*names), "gone")
+    on = col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(col(text_col)) == F.col(digest))
+    if fits(gone):
+        out = docs.join(F.broadcast(gone), on, "left_anti")
+    else:
+        test = marked(gone.select(F.xxhash64(key, digest).alias("hash")))
+        flagged = docs.withColumn(maybe, test(F.xxhash64(col(id_col), F.xxhash64(col(text_col)))))
+        checked = flagged.filter(F.col(maybe)).drop(maybe).join(gone, on, "left_anti")
+        out = flagged.filter(~F.col(maybe)).drop(maybe).unionByName(checked)
+    again = verdicts.filter("stays AND rows > 1").select(*names)
+    if again.isEmpty():
+        return out
+    # a kept row that occurs again: one of its occurrences, the least by all its columns
+    again = small(written(again, "again"))
+    once = out.join(again, on, "left_anti")
+    return once.unionByName(_least_rows(out.join(again, on, "left_semi"), id_col, text_col))
+
+
+def _least_rows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each id and text: the least by its other columns, as text where they have no order."""
+    others = [f for f in rows.schema.fields if f.name not in (id_col, text_col)]
+    ordered = [F.to_json(F.struct(col(f.name))) if f.dataType.typeName() in ("map", "variant") else col(f.name) for f in others]
+    place, whole = fresh(rows.columns, "place", "whole")
+    keyed = rows.withColumn(place, F.struct(F.lit(0).alias("first"), *(o.alias(f"o{k}") for k, o in enumerate(ordered))))
+    keyed = keyed.withColumn(whole, F.struct(*(col(c) for c in rows.columns)))
+    least = keyed.groupBy(col(id_col), F.xxhash64(col(text_col))).agg(F.min_by(whole, place).alias("least"))
+    return least.select(*(F.col("least").getField(c).alias(c) for c in rows.columns))

@@ -148,3 +148,19 @@ def test_links_of_fingerprints_are_only_candidates(spark):
     assert want != loose
     kept = simhash.deduplicate(docs, max_bits=11, ratio=0.8, similar=0.8)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_deduplicate_moves_nothing_else_and_changes_no_column(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(100))
+    extra = ["__id", "__hash", "key", "digest", "maybe", "a.b", "place", "o0", "FP"]
+    cells = list(range(len(extra)))
+    rows = [(i, text if i % 3 else " ".join(f"v{i * 1000 + k}" for k in range(80)), *cells) for i in range(1, 60)]
+    rows += [(1, text, *[c + 1 for c in cells]), (1, text, *cells)]  # rows that are equal but for other columns
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in extra))
+    want = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    for limit in (1 << 20, 0):  # few that go are handed out; many are found by a bit map
+        monkeypatch.setattr(simhash, "fits", lambda df, limit=limit: bool(limit))
+        kept = simhash.deduplicate(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+        assert [tuple(r) for r in kept.filter("doc_id = 1").collect()] == [(1, text, *cells)]
