@@ -49,17 +49,16 @@ def test_lines(stages):
 
 
 def test_near_copies(stages):
+    """Texts are copies whose five-word shingles are similar by 0.8 or more, among fingerprints within 11 bits."""
     before, after = stages["SimHash near-dedup"]
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in before.collect()}
-    size = {}
-    for f, n in prints.values():
-        size[f] = min(n, size.get(f, n))
+    rows = {r.doc_id: r.text for r in before.collect()}
+    sets = {i: simhash.shingle_set(t) for i, t in rows.items()}
+    prints = {i: simhash.fingerprint(t)[0] for i, t in rows.items()}
 
-    def near(a, b):
-        sizes = sorted((max(1, size[a[0]]), max(1, size[b[0]])))
-        return a[0] == b[0] or (bin(a[0] ^ b[0]).count("1") <= 7 and sizes[0] >= 0.8 * sizes[1])
+    def near(i, j):
+        return bin(prints[i] ^ prints[j]).count("1") <= 11 and simhash.similarity(sets[i], sets[j]) >= 0.8
 
-    assert ids(after) == sorted(set(brute_components(prints, near).values()))
+    assert ids(after) == sorted(set(brute_components({i: i for i in rows}, near).values()))
 
 
 def test_mixing(spark, stages):
