@@ -202,10 +202,13 @@ def cross_unit_paths(edges: DataFrame, args: DataFrame, references: DataFrame, *
 
 def path_counts(edges: DataFrame, length: int) -> DataFrame:
     """(bin, start, end, paths): exact number of walks of ``length`` calls between functions: sparse
-    matrix powers, one equi-join and sum a step."""
-    one = saved(edges.groupBy("bin", F.col("caller").alias("start"), F.col("callee").alias("end")).agg(F.count("*").alias("paths")))
+    matrix powers, one equi-join and sum a step.  Numbers are decimals of 38 digits; more than these is an
+    error, whether or not ``spark.sql.ansi.enabled`` is set, and never a wrong number."""
+    whole = lambda c: F.coalesce(c.cast("decimal(38,0)"), F.raise_error(F.lit("more walks than 38 digits hold")).cast("decimal(38,0)"))
+    one = saved(edges.groupBy("bin", F.col("caller").alias("start"), F.col("callee").alias("end")).agg(F.count("*").cast("decimal(38,0)").alias("paths")))
     walks = one
     step = one.select("bin", F.col("start").alias("end"), F.col("end").alias("to"), F.col("paths").alias("times"))
     for _ in range(length - 1):
-        walks = walks.join(step, ["bin", "end"]).groupBy("bin", "start", F.col("to").alias("end")).agg(F.sum(F.col("paths") * F.col("times")).alias("paths"))
+        longer = walks.join(step, ["bin", "end"]).groupBy("bin", "start", F.col("to").alias("end"))
+        walks = longer.agg(whole(F.sum(whole(F.col("paths") * F.col("times")))).alias("paths"))
     return walks

@@ -423,3 +423,10 @@ def test_numbering_in_ranges(spark):
     got = common.numbered(spark.createDataFrame(names, "name string").repartition(7), ["name"])
     assert sorted((r.number, r.name) for r in got.collect()) == list(enumerate(sorted(n for n, in names), 1))
     assert common.numbered(spark.createDataFrame([], "name string"), ["name"]).count() == 0
+
+
+def test_path_counts_beyond_a_long(spark):
+    calls = spark.range(3000).select(F.lit(0).alias("bin"), F.lit("f").alias("caller"), F.lit("f").alias("callee"))
+    assert graph.path_counts(calls, 6).first()["paths"] == 3000**6
+    with pytest.raises(Exception, match="38 digits|OVERFLOW|OUT_OF_RANGE"):
+        graph.path_counts(calls, 12).collect()
