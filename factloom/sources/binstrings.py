@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from array import array
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,16 +18,28 @@ def strings(files: DataFrame, *, key: str = "path", content: str = "content", le
     return files.select(F.col(key).alias("bin"), F.explode(F.array_distinct(runs)).alias("s"))
 
 
-def strings_at(files: DataFrame, *, key: str = "path", content: str = "content", least: int = 2) -> DataFrame:
-    """bin_strings(bin, off, s): every run of printable characters but line feeds, with its byte offset."""
-    kind = files.schema[key].dataType.simpleString()
+def runs_at(content: Column, least: int = 2) -> Column:
+    """Array of (off, s): every run of printable characters but line feeds, with its byte offset.  A column
+    of its row, so that contents stay where they are."""
     pattern = re.compile(rb"[\x09\x0B-\x0D\x20-\x7E]{%d,}" % least)
 
-    def scan(batches):
-        for batch in batches:
-            for name, data in zip(batch["bin"], batch["content"], strict=True):
-                found = [(m.start(), m[0].decode("ascii")) for m in pattern.finditer(data or b"")]
-                yield pd.DataFrame({"bin": [name] * len(found), "off": [o for o, _ in found], "s": [s for _, s in found]})
+    @F.arrow_udf("array<struct<off: bigint, s: string>>")
+    def scan(data: pa.Array) -> pa.Array:
+        first, at, ends, held = array("i", [0]), array("q"), array("i", [0]), bytearray()  # Arrow's own buffers: no object a string
+        for d in data:
+            for m in pattern.finditer(d.as_py() or b""):
+                at.append(m.start())
+                held += m[0]
+                ends.append(len(held))
+            first.append(len(at))
+        text = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(held))
+        runs = pa.StructArray.from_arrays([pa.array(np.frombuffer(at, dtype=np.int64)), text], names=["off", "s"])
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(first, dtype=np.int32)), runs)
+
+    return scan(content.cast("binary"))
 
-    picked = files.select(F.col(key).alias("bin"), F.col(content).cast("binary").alias("content"))
-    return picked.mapInPandas(scan, f"bin {kind}, off bigint, s string")
+
+def strings_at(files: DataFrame, *, key: str = "path", content: str = "content", least: int = 2) -> DataFrame:
+    """bin_strings(bin, off, s): the rows of ``runs_at``."""
+    found = files.select(F.col(key).alias("bin"), F.explode(runs_at(F.col(content), least)).alias("r"))
+    return found.select("bin", "r.off", "r.s")

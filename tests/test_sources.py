@@ -1,6 +1,6 @@
 """Files, strings, pages, scripts, XML, device descriptions, text interchange."""
 
-from factloom import schemas
+from factloom import fact_queries, schemas
 from factloom.operators import keywords
 from factloom.plans import lifecycle
 from factloom.sources import binstrings, devices, files, reports, web
@@ -110,3 +110,11 @@ def test_keyword_limits(spark):
     gone = keywords.limited(accepted, keep=False)
     assert {r.name for r in keywords.without(accepted, gone).collect()} == {"seldom", "_loose"}
     assert keywords.removals(gone, gone).count() == 1
+
+
+def test_string_offsets_of_repeated_and_empty_documents(spark, tmp_path):
+    texts = [(1, "ab\nc\u00e9de"), (1, "xyz"), (2, None), (3, "\n"), (4, "a" * 300_000 + "\u00e9bb")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = fact_queries.string_offsets(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 7, True), (4, 2, 300_002, True)]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # no text goes with each of its strings
