@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,19 +67,100 @@ def case_lines(cases: DataFrame) -> DataFrame:
     return cases.select(F.concat_ws("\n", head, line("trace"), line("sinks")).alias("value"))
 
 
-def _lined(spark: SparkSession, path: str) -> DataFrame:
-    """(file, number, line): the lines of every file, numbered in the tasks that read them."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("number", "line"))
+#: Bytes of a byte range of a text file at most.
+RANGE_BYTES = 16 << 20
+
+
+def _ranged(spark: SparkSession) -> SparkSession:
+    """A session of its own over the same cluster, whose scans always split files alike."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(RANGE_BYTES))
+    own.conf.set("spark.sql.files.openCostInBytes", str(RANGE_BYTES // 16))
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    return own
+
+
+def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(file, record, lines): ``size`` lines each, counted from the start of their file; the last may have
+    fewer.  As in a split at line feeds, an empty line follows a last line feed.
+
+    Files are read in byte ranges, whose lines are counted first; then a task knows which of its lines open a
+    record.  Only lines of records that cross the end of a range are shuffled, so a file may have any size.
+    """
+    own = _ranged(spark)
+    raw = own.read.option("lineSep", "\n").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("held"), "value")
+    counts = raw.groupBy("file", "start").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("held").alias("held"))
+    ranges, ends, file, at, used = {}, [], None, 0, 0
+    found = counts.orderBy("file", "start").collect()
+    for k, r in enumerate(found):
+        if r["file"] != file:
+            file, at, used = r["file"], 0, 0
+        ranges[file, r["start"]] = (at, r["n"])
+        at, used = at + r["n"], used + r["bytes"]
+        last = k + 1 == len(found) or found[k + 1]["file"] != file
+        if last and used == r["held"] and at % size:
+            ends.append((file, at, ""))
+
+    def runs(batches):
+        """Runs of lines of one range: file, first line, where whole records begin and end, lines."""
+        key, seen = None, 0
+        for batch in batches:
+            files, starts = batch.column(0), batch.column(1).to_numpy()
+            lengths = np.diff(np.append(np.flatnonzero(np.append(True, np.diff(starts) != 0)), len(starts))) if len(starts) else []
+            lo = 0
+            for many in lengths:
+                # ranges of one start may follow each other: then the file tells
+                while many:
+                    name = files[lo].as_py()
+                    some = int(many) if files[lo + int(many) - 1].as_py() == name else int(pc.sum(pc.equal(files.slice(lo, int(many)), name)).as_py())
+                    if (name, int(starts[lo])) != key:
+                        key, seen = (name, int(starts[lo])), 0
+                    base, n = ranges[key]
+                    if seen + some > n:
+                        raise ValueError(f"{name} changed while it was read")
+                    yield name, base + seen, -(-base // size) * size, (base + n) // size * size, batch.column(2).slice(lo, some)
+                    seen, lo, many = seen + some, lo + some, many - some
+
+    def whole(batches):
+        left, owner = None, None
+        for name, first, begin, end, lines in runs(batches):
+            a, b = max(first, begin), min(first + len(lines), end)
+            if a >= b:
+                continue
+            if (name, begin) != owner:
+                left, owner = lines.slice(0, 0), (name, begin)
+            number, held = a - len(left), pa.concat_arrays([left, lines.slice(a - first, b - a)])
+            n = len(held) // size
+            left = held.slice(n * size)
+            if n:
+                records = pa.array(np.arange(number // size, number // size + n, dtype=np.int64))
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), held.slice(0, n * size))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), records, parts], ["file", "record", "lines"])
+
+    def crossing(batches):
+        for name, first, begin, end, lines in runs(batches):
+            numbers = np.arange(first, first + len(lines), dtype=np.int64)
+            where = np.flatnonzero((numbers < begin) | (numbers >= end))
+            if len(where):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(where), pa.string()), pa.array(numbers[where]), lines.take(pa.array(where))], ["file", "number", "line"])
+
+    lines = raw.select("file", "start", F.regexp_replace("value", r"\r\z", "").alias("value"))
+    rest = lines.mapInArrow(crossing, "file string, number long, line string")
+    rest = rest.union(own.createDataFrame(ends, "file string, number long, line string"))
+    rest = rest.groupBy("file", F.floor(F.col("number") / size).alias("record")).agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("x"))
+    return lines.mapInArrow(whole, "file string, record long, lines array<string>").unionByName(rest.select("file", "record", F.col("x.line").alias("lines")))
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """taint_cases of files of three-line records.  A record whose lines are no numbers, or whose first
     line has not two of them, is an error: none is passed over."""
-    rows = _lined(spark, path).withColumn("n", F.transform(F.filter(F.split("line", r"\s+"), lambda x: x != ""), _number))
-    rows = rows.withColumn("record", F.floor(F.col("number") / 3)).withColumn("part", F.col("number") % 3)
-    part = lambda k: F.max(F.when(F.col("part") == k, F.col("n")))
-    whole = rows.groupBy("file", "record").agg(part(0).alias("head"), part(1).alias("trace"), part(2).alias("sinks"), F.bool_and(F.col("line") == "").alias("blank"))
+    numbers = lambda k: F.transform(F.filter(F.split(F.get("lines", F.lit(k)), r"\s+"), lambda x: x != ""), _number)
+    rows = _records(spark, path, 3)
+    whole = rows.select("file", "record", numbers(0).alias("head"), numbers(1).alias("trace"), numbers(2).alias("sinks"), F.forall("lines", lambda x: x == "").alias("blank"))
     bad = F.col("head").isNull() | (F.size("head") != 2) | F.col("sinks").isNull()
     checked = F.when(bad | F.exists(F.concat("head", "trace", "sinks"), lambda x: x.isNull()), F.raise_error(F.concat(F.lit("no case in "), "file", F.lit(", record "), F.col("record").cast("string"))).cast("array<bigint>")).otherwise(F.col("head"))
     return whole.filter("NOT blank").withColumn("head", checked).select(F.col("head")[0].alias("str_addr"), F.col("head")[1].alias("ref_addr"), "trace", "sinks")
@@ -90,13 +174,11 @@ def _number(token: Column) -> Column:
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """(name, fields map) of the older cluster report: records of 14 lines ``label : value``; the first
     value names the unit."""
-    rows = _lined(spark, path).filter("line LIKE '%:%'")
-    pair = F.split("line", r"\s*:\s*", 2)
-    rows = rows.select("file", F.floor(F.col("number") / 14).alias("record"), "number", F.trim(pair[0]).alias("label"), F.trim(pair[1]).alias("content"))
-    whole = rows.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("number", "label", "content"))).alias("lines"))
+    pair = lambda x: F.transform(F.split(x, r"\s*:\s*", 2), lambda y: F.trim(y))
+    pairs = F.transform(F.filter("lines", lambda x: F.contains(x, F.lit(":"))), pair)
+    whole = _records(spark, path, 14).select(pairs.alias("pairs")).filter("size(pairs) > 0")
     return whole.select(
-        F.col("lines")[0]["content"].alias("name"),
-        F.map_from_entries(F.transform("lines", lambda x: F.struct(x["label"], x["content"]))).alias("fields"),
+        F.col("pairs")[0][1].alias("name"), F.map_from_entries(F.transform("pairs", lambda x: F.struct(x[0], x[1]))).alias("fields"),
     )
 
 

@@ -1,5 +1,7 @@
 """Files, strings, pages, scripts, XML, device descriptions, text interchange."""
 
+import pytest
+
 from factloom import fact_queries, schemas
 from factloom.operators import keywords
 from factloom.plans import lifecycle
@@ -118,3 +120,26 @@ def test_string_offsets_of_repeated_and_empty_documents(spark, tmp_path):
     got = fact_queries.string_offsets(spark, str(tmp_path))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 7, True), (4, 2, 300_002, True)]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # no text goes with each of its strings
+
+
+def test_records_cross_byte_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reports, "RANGE_BYTES", 64)
+    (tmp_path / "c").mkdir()
+    want = []
+    for f in range(3):
+        cases = [(100 * f + k, k, list(range(k % 5)), [] if k % 4 == 0 else [k, k + 1]) for k in range(50 + f)]
+        lines = [" ".join(map(hex, part)) for s, r, t, e in cases for part in ((s, r), t, e)]
+        (tmp_path / "c" / f"part-{f}").write_text(("\n", "\r\n", "\n")[f].join(lines) + ("\n", "\r\n", "")[f])
+        want += cases
+    found = reports.read_cases(spark, str(tmp_path / "c" / "part-*"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert found.rdd.getNumPartitions() > 3
+    records = [f"Program name : p{k}\nHits : h {k}\n" + "\n".join(f"field {j} : {j}" for j in range(12)) for k in range(40)]
+    (tmp_path / "d").write_text("\n".join(records) + "\n")
+    got = reports.read_clusters(spark, str(tmp_path / "d")).collect()
+    assert sorted((r.name, r.fields["Hits"], len(r.fields)) for r in got) == sorted((f"p{k}", f"h {k}", 14) for k in range(40))
+    (tmp_path / "e").write_text("0x1 0x2\n0x3\n")
+    assert [tuple(r) for r in reports.read_cases(spark, str(tmp_path / "e")).collect()] == [(1, 2, [3], [])]
+    (tmp_path / "e").write_text("0x1 0x2\n0x3")
+    with pytest.raises(Exception, match="no case in"):
+        reports.read_cases(spark, str(tmp_path / "e")).collect()
