@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text
+from ..operators.common import saved
 
 
 def keyword_file(spark: SparkSession, path: str) -> DataFrame:
@@ -83,87 +86,187 @@ def _ranged(spark: SparkSession) -> SparkSession:
     return own
 
 
-def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
+def _records(
+    spark: SparkSession, path: str, size: int, parse: Callable[[pa.Array], list[pa.Array]] | None = None, kinds: str = "lines array<string>",
+) -> DataFrame:
     """(file, record, lines): ``size`` lines each, counted from the start of their file; the last may have
     fewer.  As in a split at line feeds, an empty line follows a last line feed.
 
-    Files are read in byte ranges, whose lines are counted first; then a task knows which of its lines open a
-    record.  Only lines of records that cross the end of a range are shuffled, so a file may have any size.
+    Files are read in byte ranges.  A file of one range is read once; of larger files the lines of each range
+    are counted first, so that a task knows which of its lines open a record.  Of these only the outermost lines
+    of a range are shuffled, so a file may have any size.  No row in a task has a file's name, only its hash.
+
+    ``parse`` makes the columns ``kinds`` of an array of records, in the task that holds them; the first is
+    ``lines``, which it may leave null where others have all of it (there ``file`` is null too).
     """
     own = _ranged(spark)
+    listed = own.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length")
+    known, salt = [tuple(r) for r in listed.collect()], 0
+    while True:
+        hashed = own.createDataFrame(known, "file string, length long").select(F.xxhash64(F.lit(salt), "file"), "file", "length")
+        held = {h: (name, length) for h, name, length in hashed.collect()}
+        if len(held) == len(known):
+            break
+        salt += 1
+    value = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
     raw = own.read.option("lineSep", "\n").text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("held"), "value")
-    counts = raw.groupBy("file", "start").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("held").alias("held"))
-    ranges, ends, file, at, used = {}, [], None, 0, 0
-    found = counts.orderBy("file", "start").collect()
-    for k, r in enumerate(found):
-        if r["file"] != file:
-            file, at, used = r["file"], 0, 0
-        ranges[file, r["start"]] = (at, r["n"])
-        at, used = at + r["n"], used + r["bytes"]
-        last = k + 1 == len(found) or found[k + 1]["file"] != file
-        if last and used == r["held"] and at % size:
-            ends.append((file, at, ""))
+    many = F.col("_metadata.file_size") > RANGE_BYTES
+    columns = [
+        F.xxhash64(F.lit(salt), F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        (F.octet_length("value") + 1).cast("long").alias("bytes"), F.make_valid_utf8(value).alias("line"),
+    ]
 
     def runs(batches):
-        """Runs of lines of one range: file, first line, where whole records begin and end, lines."""
-        key, seen = None, 0
+        """Runs of lines of one range: file and start, whether the range begins, bytes of each line, lines."""
+        key = None
         for batch in batches:
-            files, starts = batch.column(0), batch.column(1).to_numpy()
-            lengths = np.diff(np.append(np.flatnonzero(np.append(True, np.diff(starts) != 0)), len(starts))) if len(starts) else []
-            lo = 0
-            for many in lengths:
-                # ranges of one start may follow each other: then the file tells
-                while many:
-                    name = files[lo].as_py()
-                    some = int(many) if files[lo + int(many) - 1].as_py() == name else int(pc.sum(pc.equal(files.slice(lo, int(many)), name)).as_py())
-                    if (name, int(starts[lo])) != key:
-                        key, seen = (name, int(starts[lo])), 0
-                    base, n = ranges[key]
-                    if seen + some > n:
-                        raise ValueError(f"{name} changed while it was read")
-                    yield name, base + seen, -(-base // size) * size, (base + n) // size * size, batch.column(2).slice(lo, some)
-                    seen, lo, many = seen + some, lo + some, many - some
+            files, starts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = (np.flatnonzero((np.diff(files) != 0) | (np.diff(starts) != 0)) + 1).tolist() if len(files) else []
+            for a, b in zip([0, *cuts], [*cuts, len(files)], strict=True):
+                if a < b:
+                    here = (int(files[a]), int(starts[a]))
+                    yield here, here != key, batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)
+                    key = here
+
+    def outer(batches):
+        """A row a range: how many lines and bytes it holds, and its outermost lines."""
+        def row():
+            one = [[key[0]], [key[1]], [n], [used], [head.to_pylist()], [tail.to_pylist()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(one, [pa.int64()] * 4 + [pa.list_(pa.string())] * 2, strict=True)], ["file", "start", "n", "bytes", "head", "tail"])
+
+        key = None
+        for here, begins, lengths, lines in runs(batches):
+            if begins:
+                if key is not None:
+                    yield row()
+                key, n, used, head, tail = here, 0, 0, lines.slice(0, 0), lines.slice(0, 0)
+            head = pa.concat_arrays([head, lines.slice(0, max(0, size - 1 - n))])
+            tail = pa.concat_arrays([tail, lines.slice(max(0, len(lines) - size + 1))])
+            tail = tail.slice(max(0, len(tail) - size + 1))
+            n, used = n + len(lines), used + pc.sum(lengths).as_py()
+        if key is not None:
+            yield row()
+
+    ranges: dict[tuple[int, int], tuple[int, int]] = {}
+    ends: list[tuple[int, int, str]] = []
+    large = any(length > RANGE_BYTES for _, length in held.values())
+    if large:
+        # a filter by a file's size leaves out files, not lines
+        edges = saved(raw.filter(many).select(*columns).mapInArrow(outer, "file long, start long, n long, bytes long, head array<string>, tail array<string>"))
+        file, at, used = None, 0, 0
+        found = sorted(tuple(r) for r in edges.select("file", "start", "n", "bytes").collect())
+        for k, (name, start, n, bytes_) in enumerate(found):
+            if name != file:
+                file, at, used = name, 0, 0
+            ranges[name, start] = (at, n)
+            at, used = at + n, used + bytes_
+            if (k + 1 == len(found) or found[k + 1][0] != name) and used == held[name][1] and at % size:
+                ends.append((name, at, ""))
+
+    def built(file, number, lines):
+        """Records of lines, the last of which may be short."""
+        n = -(-len(lines) // size)
+        offsets = np.minimum(np.arange(n + 1) * size, len(lines)).astype(np.int32)
+        parts = pa.ListArray.from_arrays(pa.array(offsets), lines)
+        return named(pa.array([held[file][0]] * n, pa.string()), pa.array(np.arange(number, number + n, dtype=np.int64)), parts)
+
+    def named(files, records, parts):
+        made = parse(parts) if parse else [parts]
+        files = pc.if_else(made[0].is_null(), pa.scalar(None, pa.string()), files)
+        return pa.RecordBatch.from_arrays([files, records, *made], [*"fr", *map(str, range(len(made)))])
 
     def whole(batches):
-        left, owner = None, None
-        for name, first, begin, end, lines in runs(batches):
-            a, b = max(first, begin), min(first + len(lines), end)
-            if a >= b:
-                continue
-            if (name, begin) != owner:
-                left, owner = lines.slice(0, 0), (name, begin)
-            number, held = a - len(left), pa.concat_arrays([left, lines.slice(a - first, b - a)])
-            n = len(held) // size
-            left = held.slice(n * size)
-            if n:
-                records = pa.array(np.arange(number // size, number // size + n, dtype=np.int64))
-                parts = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), held.slice(0, n * size))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), records, parts], ["file", "record", "lines"])
+        """Records that lie in one range; of a file of one range these are all."""
+        key = None
+        for here, begins, lengths, lines in runs(batches):
+            if begins:
+                if key is not None and key not in ranges and len(left):
+                    yield built(key[0], number, closed(left, used == held[key[0]][1]))
+                if here[0] not in held or (here[1] and here not in ranges):
+                    raise ValueError("a file changed while it was read")
+                key, seen, used, left = here, 0, 0, lines.slice(0, 0)
+                base, n = ranges.get(key, (0, None))
+                first, last = -(-base // size) * size - base, None if n is None else (base + n) // size * size - base
+                number = (base + first) // size
+            if n is not None and seen + len(lines) > n:
+                raise ValueError(f"{held[key[0]][0]} changed while it was read")
+            a, b = max(0, first - seen), len(lines) if last is None else min(len(lines), last - seen)
+            seen, used = seen + len(lines), used + pc.sum(lengths).as_py()
+            if a < b:
+                left = pa.concat_arrays([left, lines.slice(a, b - a)])
+                count = len(left) // size
+                if count:
+                    yield built(key[0], number, left.slice(0, count * size))
+                number, left = number + count, left.slice(count * size)
+        if key is not None and key not in ranges and len(left):
+            yield built(key[0], number, closed(left, used == held[key[0]][1]))
+
+    def closed(left, fed):
+        return pa.concat_arrays([left, pa.array([""], left.type)]) if fed else left
 
     def crossing(batches):
-        for name, first, begin, end, lines in runs(batches):
-            numbers = np.arange(first, first + len(lines), dtype=np.int64)
-            where = np.flatnonzero((numbers < begin) | (numbers >= end))
-            if len(where):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(where), pa.string()), pa.array(numbers[where]), lines.take(pa.array(where))], ["file", "number", "line"])
-
-    lines = raw.select("file", "start", F.regexp_replace("value", r"\r\z", "").alias("value"))
-    rest = lines.mapInArrow(crossing, "file string, number long, line string")
-    rest = rest.union(own.createDataFrame(ends, "file string, number long, line string"))
-    rest = rest.groupBy("file", F.floor(F.col("number") / size).alias("record")).agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("x"))
-    return lines.mapInArrow(whole, "file string, record long, lines array<string>").unionByName(rest.select("file", "record", F.col("x.line").alias("lines")))
+        """Lines of records that lie in more than one range."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                base, n = ranges[r["file"], r["start"]]
+                lines = dict(enumerate(r["head"], base)) | dict(enumerate(r["tail"], base + n - len(r["tail"])))
+                rest = sorted(k for k in lines if k < -(-base // size) * size or k >= (base + n) // size * size)
+                if rest:
+                    yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(rest), pa.int64()), pa.array(rest, pa.int64()), pa.array([lines[k] for k in rest], pa.string())], ["file", "number", "line"])
+
+    def joined(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield named(pa.array([held[f][0] for f in batch.column(0).to_pylist()], pa.string()), batch.column(1), batch.column(2))
+
+    made = f"file string, record long, {kinds}"
+    out = raw.select(*columns).mapInArrow(whole, made)
+    if large:
+        rest = edges.mapInArrow(crossing, "file long, number long, line string").union(own.createDataFrame(ends, "file long, number long, line string"))
+        rest = rest.groupBy("file", F.floor(F.col("number") / size).alias("record")).agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("x"))
+        out = out.unionByName(rest.select("file", "record", F.col("x.line").alias("lines")).mapInArrow(joined, made))
+    return out
+
+
+def _plain_cases(records: pa.Array) -> list[pa.Array]:
+    """lines, head, trace, sinks of three-line records: numbers of those that hold nothing but ``0x`` numbers
+    of up to 15 digits and single spaces, of others the lines."""
+    n, lines = len(records), records.flatten()
+    full = pc.equal(records.value_lengths(), 3).to_numpy(zero_copy_only=False)
+    at = np.repeat((np.cumsum(records.value_lengths().to_numpy()) - 3)[full], 3).reshape(-1, 3) + np.arange(3)
+    number, plain = "0x[0-9a-fA-F]{1,15}", full.copy()
+    parts = [lines.take(pa.array(at[:, k])) for k in range(3)]
+    shapes = [rf"\A{number} {number}\z", *[rf"\A({number}( {number})*)?\z"] * 2]
+    fits = [pc.match_substring_regex(p, shape).to_numpy(zero_copy_only=False) for p, shape in zip(parts, shapes, strict=True)]
+    plain[full] = np.logical_and.reduce(fits)
+    found = []
+    for part in parts:
+        rows = np.full(n, -1, dtype=np.int64)
+        rows[full] = np.arange(len(part))
+        rows = rows[plain]
+        tokens = pc.split_pattern(part.take(pa.array(rows)), " ")
+        flat = tokens.flatten()
+        values = pc.if_else(pc.equal(flat, ""), pa.scalar(None, flat.type), flat).cast(pa.int64())
+        there = np.append(0, np.cumsum(values.is_valid().to_numpy(zero_copy_only=False)))
+        ends = np.cumsum(tokens.value_lengths().to_numpy()) if len(tokens) else np.zeros(0, dtype=np.int64)
+        sizes = np.zeros(n, dtype=np.int64)
+        sizes[plain] = np.diff(np.append(0, there[ends]))
+        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        found.append(pa.ListArray.from_arrays(offsets, values.drop_null()))
+    return [pc.if_else(pa.array(plain), pa.scalar(None, records.type), records), *found]
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """taint_cases of files of three-line records.  A record whose lines are no numbers, or whose first
     line has not two of them, is an error: none is passed over."""
-    numbers = lambda k: F.transform(F.filter(F.split(F.get("lines", F.lit(k)), r"\s+"), lambda x: x != ""), _number)
-    rows = _records(spark, path, 3)
-    whole = rows.select("file", "record", numbers(0).alias("head"), numbers(1).alias("trace"), numbers(2).alias("sinks"), F.forall("lines", lambda x: x == "").alias("blank"))
-    bad = F.col("head").isNull() | (F.size("head") != 2) | F.col("sinks").isNull()
-    checked = F.when(bad | F.exists(F.concat("head", "trace", "sinks"), lambda x: x.isNull()), F.raise_error(F.concat(F.lit("no case in "), "file", F.lit(", record "), F.col("record").cast("string"))).cast("array<bigint>")).otherwise(F.col("head"))
-    return whole.filter("NOT blank").withColumn("head", checked).select(F.col("head")[0].alias("str_addr"), F.col("head")[1].alias("ref_addr"), "trace", "sinks")
+    numbers = lambda k, plain: F.when(F.col("lines").isNull(), F.col(plain)).otherwise(F.transform(F.filter(F.split(F.get("lines", F.lit(k)), r"\s+"), lambda x: x != ""), _number)).alias(plain)
+    rows = _records(spark, path, 3, _plain_cases, "lines array<string>, head array<bigint>, trace array<bigint>, sinks array<bigint>")
+    plain, blank = F.col("lines").isNull(), F.forall("lines", lambda x: x == "")
+    whole = rows.filter(plain | ~blank).select("file", "record", numbers(0, "head"), numbers(1, "trace"), numbers(2, "sinks"), plain.alias("plain"))
+    bad = F.col("head").isNull() | (F.size("head") != 2) | F.col("sinks").isNull() | F.exists(F.concat("head", "trace", "sinks"), lambda x: x.isNull())
+    error = F.raise_error(F.concat(F.lit("no case in "), "file", F.lit(", record "), F.col("record").cast("string"))).cast("array<bigint>")
+    checked = F.when(F.col("plain"), F.col("head")).when(bad, error).otherwise(F.col("head"))
+    return whole.withColumn("head", checked).select(F.col("head")[0].alias("str_addr"), F.col("head")[1].alias("ref_addr"), "trace", "sinks")
 
 
 def _number(token: Column) -> Column:

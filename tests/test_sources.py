@@ -143,3 +143,17 @@ def test_records_cross_byte_ranges(spark, tmp_path, monkeypatch):
     (tmp_path / "e").write_text("0x1 0x2\n0x3")
     with pytest.raises(Exception, match="no case in"):
         reports.read_cases(spark, str(tmp_path / "e")).collect()
+
+
+def test_records_of_a_file_of_one_range_are_read_once(spark, tmp_path):
+    lines = ["0x1 0x2", "0x3 0xABc", "0x4", " 0x1\t2 ", "", "9223372036854775807  0x7FFFFFFFFFFFFFFF", "", "", "", "0x5 6", "0x7", "", "0x8 0x9", "0xa"]
+    (tmp_path / "f").write_text("\r\n".join(lines) + "\n")
+    found = reports.read_cases(spark, str(tmp_path / "f"))
+    top = 2**63 - 1
+    assert [tuple(r) for r in found.collect()] == [(1, 2, [3, 0xABC], [4]), (1, 2, [], [top, top]), (5, 6, [7], []), (8, 9, [10], [])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1  # neither counted nor dealt out before
+    for bad in ("0x1\n0x2\n0x3\n", "0x1 0x2\nx\n0x3\n", "0x1 0x2 0x3\n\n\n", "0x1 0x2\n0x3 0xg\n0x4\n"):
+        (tmp_path / "g").write_text("0x1 0x2\n\n\n" + bad)
+        with pytest.raises(Exception, match="no case in .*/g, record 1"):
+            reports.read_cases(spark, str(tmp_path / "g")).collect()
