@@ -52,7 +52,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """One document of each group of near-duplicates stays.
 
     Fingerprints are those of op10; those within 11 bits and with sizes within 0.8 of each other are
-    candidates, and texts whose five-word shingles are similar by 0.8 or more are copies.
+    candidates, and texts whose five-word shingles are similar by 0.8 or more are copies.  No candidate is
+    left out that would link two groups.
     """
     return simhash.deduplicate(docs, max_bits=11, ratio=0.8, similar=0.8, crowd=32)
 

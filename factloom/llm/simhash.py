@@ -15,9 +15,12 @@ bucket is searched as a whole however common its segment is, and nothing is capp
 
 With ``similar`` the links of fingerprints are candidates only: a link of two texts stays where the
 exact Jaccard similarity of their sets of ``SHINGLE``-word shingles is at least that, and components are of
-texts.  Of the texts of one fingerprint the first ``HUBS`` stand for it towards others and are
-compared with all of its texts, so that pairs grow with texts; crowded buckets walk their members in
-``ORDERS`` orders, as a link of one forest may fail the comparison.
+texts.  First, of the texts of one fingerprint the first ``HUBS`` stand for it towards others and are
+compared with all of its texts, and of what is linked in a crowded bucket more than ``crowd`` members give
+spanning forests in ``ORDERS`` orders, all others all of their links.  What this leaves untested - texts beyond
+the hubs, pairs of large linked groups - is then searched whole (``_untested``) where it holds more than one
+component: each pair of texts of two components is either compared or ruled out by a bound on the similarity
+that sizes and parities of shingle hashes give (``sketch``), which excludes no pair that is similar enough.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, which links like
 any other; fewer words than a shingle count as one shingle; repeated rows stay and share their
@@ -42,6 +45,8 @@ BITS = 64
 SHINGLE = 5
 HUBS = 8
 ORDERS = 4
+#: Bits of the parities of a text's shingles.
+PARITIES = 1024
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> tuple[int, int]:
@@ -100,6 +105,13 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
+def sketch(shingles: set[bytes]) -> bytes:
+    """For each of ``PARITIES`` values of a hash whether an odd number of shingles has it.  Two sketches differ in
+    at most as many bits as there are shingles in only one of the two sets."""
+    found = np.array([xxhash.xxh64_intdigest(s) % PARITIES for s in shingles], dtype=np.int64)
+    return np.packbits((np.bincount(found, minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+
+
 def _cuts(count: int, bits: int = BITS) -> list[tuple[int, int]]:
     """(first bit, width) of each of ``count`` nearly equal segments."""
     edges = [round(k * bits / count) for k in range(count + 1)]
@@ -164,11 +176,19 @@ def forest(fps: np.ndarray, sizes: np.ndarray | None, max_bits: int, ratio: floa
 
 def links(
     classes: DataFrame, max_bits: int = 2, hot: int = 4096, ratio: float | None = None, crowd: int = 32,
-    orders: int = 1,
 ) -> DataFrame:
-    """(a, b): pairs of distinct ``fp`` within ``max_bits`` bits that connect all those that are.
+    """(a, b): pairs of distinct ``fp`` within ``max_bits`` bits that connect all those that are."""
+    return _links(classes, max_bits, hot, ratio, crowd)[0]
+
 
-    With ``orders`` above 1, crowded buckets walk their members in so many different orders.
+def _links(
+    classes: DataFrame, max_bits: int, hot: int, ratio: float | None, crowd: int, orders: int = 1, whole: bool = False,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The links, and with ``whole`` (g, fp): groups in which links may be missing, if there are any.
+
+    With ``orders`` above 1, crowded buckets walk their members in so many different orders.  With ``whole``
+    only groups of more than ``crowd`` linked members give forests; any pair that may be linked is among the
+    links or in one of the groups.
 
     With ``ratio`` the classes carry ``size``, and a pair also needs sizes within that ratio.  The
     size's step on the scale of that ratio then belongs to the key: sizes within the ratio are at
@@ -204,7 +224,7 @@ def links(
         every wiped variant of it: only those of its first bits connect them, one for each order, the others
         only link members that differ in the wiped bit.  So a large group gives a few rows a member, not one
         for each variant."""
-        none = pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
+        none = pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in "abg"})
         at = int(key[0])
         fps = group["fp"].to_numpy()
         side = (fps >> at) & 1
@@ -214,18 +234,32 @@ def links(
             return none  # all one step below: they meet in their own step's bucket
         odd = np.uint64(2 * (at % orders) + 0x9E3779B97F4A7C15)  # the same order wherever members meet
         order = np.argsort(fps.view(np.uint64) * odd, kind="stable")
-        sizes = group["size"].to_numpy()[order] if ratio else None
-        a, b = forest(fps[order], sizes, max_bits, ratio)
+        fps, sizes = fps[order], group["size"].to_numpy()[order] if ratio else None
+        if whole:
+            linked = _has_near(fps, max_bits)
+            fps, sizes = fps[linked], sizes[linked] if ratio else None
+            if not len(fps):
+                return none
+        a, b = forest(fps, sizes, max_bits, ratio)
+        g = np.zeros(len(a), dtype=np.int64)
+        if whole:
+            a, b, g = _all_links(fps, sizes, a, b, max_bits, ratio, crowd, xxhash.xxh64_intdigest(repr(tuple(map(int, key)))))
         a, b = np.minimum(a, b), np.maximum(a, b)
         kept = (((a ^ b) >> at) & 1 == 1) | (at in firsts)
-        return pd.DataFrame({"a": a[kept], "b": b[kept]})
+        if (g != 0).any():
+            # a group whose members agree in the wiped bit meets in every variant: once is enough
+            ones = pd.Series((a >> at) & 1).groupby(g).transform("nunique").to_numpy()
+            kept = np.where(g != 0, (ones > 1) | (at in heads), kept)
+        return pd.DataFrame({"a": a[kept], "b": b[kept], "g": g[kept]})
+
+    heads = {first for first, _ in cuts}
 
     def spanned(rows: DataFrame, on: list[str]) -> DataFrame:
-        return rows.select(*on, *keep).groupBy(*on).applyInPandas(span, "a long, b long")
+        return rows.select(*on, *keep).groupBy(*on).applyInPandas(span, "a long, b long, g long")
 
-    many = shared.filter(F.col("n") > crowd)
+    many, groups = shared.filter(F.col("n") > crowd), None
     if not many.isEmpty():
-        found = found.union(spanned(many.filter(F.col("n") <= hot), on))
+        spans = spanned(many.filter(F.col("n") <= hot), on)
         huge = many.filter(F.col("n") > hot)
         # outside the shared segment at most max_bits bits differ, so the same cut holds once more
         for own in cuts if not huge.isEmpty() else []:
@@ -235,19 +269,56 @@ def links(
             again = huge.filter((F.col("at") >= own[0]) & (F.col("at") < own[0] + own[1]))
             again = again.select(*on, *keep, F.explode(_variants(F.col("fp"), others)).alias("v"))
             again = again.select(*on, *keep, F.col("v.at").alias("at2"), F.col("v.rest").alias("rest2"))
-            found = found.union(spanned(again, [*on, "at2", "rest2"]))
-        found = found.distinct()
-    return found
-
-
-def verified(prints: DataFrame, found: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """(a, b): pairs of text hashes, of one fingerprint or of two linked ones, that are similar enough.
-
-    ``prints`` has (text_hash, fp), ``found`` the links of fingerprints, ``texts`` (text_hash, text).
+            spans = spans.union(spanned(again, [*on, "at2", "rest2"]))
+        if whole:
+            spans = written(spans.distinct(), "spans")
+            groups = spans.filter("g <> 0").select("g", F.col("a").alias("fp"))
+        found = found.union(spans.filter("g = 0").select("a", "b")).distinct()
+    return found, groups
+
+
+def _has_near(fps: np.ndarray, max_bits: int) -> np.ndarray:
+    """Whether any other fingerprint is within ``max_bits`` bits."""
+    bits, step = fps.view(np.uint64), max(1, (1 << 21) // max(1, len(fps)))
+    near = lambda lo: np.bitwise_count(bits[lo : lo + step, None] ^ bits[None]) <= max_bits
+    return np.concatenate([near(lo).sum(axis=1) > 1 for lo in range(0, len(bits), step)])
+
+
+def _all_links(
+    fps: np.ndarray, sizes: np.ndarray | None, a: np.ndarray, b: np.ndarray, max_bits: int, ratio: float | None, crowd: int, name: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, g): of a forest's trees of up to ``crowd`` members all links, of larger ones the forest's and the
+    members themselves (a = b) with the name of the tree's group, which is not 0."""
+    order = np.argsort(fps)
+    place = lambda x: order[np.searchsorted(fps, x, sorter=order)]
+    root = np.arange(len(fps))
+    u, v = place(a), place(b)
+    for x, y in zip(u.tolist(), v.tolist(), strict=True):  # in the order of the walk: x is in the tree already
+        root[y] = root[x]
+    count = np.bincount(root, minlength=len(fps))
+    dense = count[root] > crowd
+    out = [(a[dense[u]], b[dense[u]], np.zeros(int(dense[u].sum()), dtype=np.int64))]
+    bits = fps.view(np.uint64)
+    for r in np.flatnonzero(count > 1).tolist():
+        own = np.flatnonzero(root == r)
+        if count[r] > crowd:
+            g = np.array([(name ^ xxhash.xxh64_intdigest(int(fps[r]).to_bytes(8, "little", signed=True))) | 1], dtype=np.uint64).view(np.int64)
+            out.append((fps[own], fps[own], np.repeat(g, len(own))))
+            continue
+        i, j = np.triu_indices(len(own), 1)
+        i, j = own[i], own[j]
+        near = np.bitwise_count(bits[i] ^ bits[j]) <= max_bits
+        if ratio:
+            near &= np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
+        out.append((fps[i[near]], fps[j[near]], np.zeros(int(near.sum()), dtype=np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def candidates(numbered: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): pairs of text hashes, of one fingerprint or of two linked ones, one of each the first ``HUBS``.
+
+    ``numbered`` has (fp, text_hash, place), ``found`` the links of fingerprints.
     """
-    distinct = prints.select("fp", "text_hash").distinct()
-    place = F.expr("row_number() OVER (PARTITION BY fp ORDER BY text_hash)")
-    numbered = written(distinct.withColumn("place", place), "texts")
     hubs = numbered.filter(F.col("place") <= HUBS)
     inside = hubs.select("fp", F.col("text_hash").alias("a"), F.col("place").alias("first")).join(
         numbered.filter("place > 1").select("fp", F.col("text_hash").alias("b"), "place"), "fp"
@@ -256,7 +327,11 @@ def verified(prints: DataFrame, found: DataFrame, texts: DataFrame, similar: flo
     across = found.join(hubs.select(F.col("fp").alias("a"), F.col("text_hash").alias("ha")), "a")
     across = across.join(hubs.select(F.col("fp").alias("b"), F.col("text_hash").alias("hb")), "b")
     across = across.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
-    pairs = written(inside.union(across).distinct(), "pairs")
+    return inside.union(across).distinct()
+
+
+def compared(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(a, b): the pairs of text hashes, a written table, whose texts (text_hash, text) are similar enough."""
     # only texts of a pair are shuffled, each once
     paired = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
     held = written(texts.join(paired, "text_hash", "left_semi").dropDuplicates(["text_hash"]), "paired")
@@ -272,6 +347,59 @@ def verified(prints: DataFrame, found: DataFrame, texts: DataFrame, similar: flo
     return sides.mapInPandas(compare, "a long, b long")
 
 
+def _untested(
+    numbered: DataFrame, found: DataFrame, groups: DataFrame | None, roots: DataFrame, classes: DataFrame, texts: DataFrame,
+    max_bits: int, ratio: float | None, similar: float,
+) -> DataFrame | None:
+    """(a, b): every pair of texts of two components that ``candidates`` may have left out and that may be
+    similar enough; none if no group has two components."""
+    crowd = numbered.filter(F.col("place") == HUBS + 1).select("fp")
+    held = crowd.select(F.xxhash64("fp").alias("g"), "fp")
+    for side in "ab":
+        pair = found.join(crowd, found[side] == crowd["fp"], "left_semi")
+        held = held.union(pair.select(F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("fp")))
+    held = (held.union(groups) if groups is not None else held).distinct()
+    rows = held.join(numbered.select("fp", "text_hash"), "fp").join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left")
+    rows = written(rows.select("g", "fp", "text_hash", F.coalesce("root", "text_hash").alias("root")), "groups")
+    mixed = rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+    rows = written(rows.join(mixed, "g", "left_semi").join(classes.select("fp", "size"), "fp"), "mixed")
+    if rows.isEmpty():
+        return None
+    wanted = small(written(rows.select("text_hash").distinct(), "wanted"))
+
+    def sketched(batches):
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch["text"]]
+            yield pd.DataFrame({"text_hash": batch["text_hash"], "held": np.array([len(s) for s in sets], dtype=np.int64), "parities": [sketch(s) for s in sets]})
+        trim()
+
+    short = texts.join(wanted, "text_hash", "left_semi").mapInPandas(sketched, "text_hash long, held long, parities binary")
+    short = written(short.dropDuplicates(["text_hash"]), "sketches")
+
+    def meet(group):
+        texts, fps, roots = group["text_hash"].to_numpy(), group["fp"].to_numpy().view(np.uint64), group["root"].to_numpy()
+        size, held = np.maximum(group["size"].to_numpy(), 1), group["held"].to_numpy()
+        parities = np.frombuffer(b"".join(group["parities"]), dtype=np.uint64).reshape(len(group), -1)
+        step, found = max(1, (1 << 21) // len(group)), [np.zeros((0, 2), dtype=np.int64)]
+        for lo in range(0, len(group), step):
+            near = np.bitwise_count(fps[lo : lo + step, None] ^ fps[None]) <= max_bits
+            i, j = np.nonzero(near & (texts[lo : lo + step, None] < texts[None]) & (roots[lo : lo + step, None] != roots[None]))
+            i += lo
+            # common / all >= similar: so few at most are in one set only
+            apart = (held[i] + held[j]) * (1 - similar) / (1 + similar) + 1e-6
+            fit = np.abs(held[i] - held[j]) <= apart
+            if ratio:
+                fit &= np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
+            i, j, apart = i[fit], j[fit], apart[fit]
+            for k in range(0, len(i), 1 << 16):
+                x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                fit = np.bitwise_count(parities[x] ^ parities[y]).sum(axis=1, dtype=np.int64) <= apart[k : k + (1 << 16)]
+                found.append(np.stack([texts[x[fit]], texts[y[fit]]], axis=1))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    return rows.join(short, "text_hash").groupBy("g").applyInPandas(meet, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2,
     ratio: float | None = None, hot: int = 4096, similar: float | None = None, crowd: int = 32,
@@ -285,9 +413,20 @@ def near_duplicates(
     least = [F.min("doc_id").alias("least"), F.min("shingles").alias("size")]
     classes = written(prints.groupBy("fp").agg(*least), "classes")
     if similar is not None:
-        found = links(classes, max_bits, hot, ratio, crowd, ORDERS)
+        found, groups = _links(classes, max_bits, hot, ratio, crowd, ORDERS, whole=True)
+        found = written(found, "links")
         texts = docs.select(F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
-        roots = components(verified(prints, found, texts, similar)).withColumnRenamed("node", "text_hash")
+        place = F.expr("row_number() OVER (PARTITION BY fp ORDER BY text_hash)")
+        numbered = written(prints.select("fp", "text_hash").distinct().withColumn("place", place), "texts")
+        pairs = written(candidates(numbered, found), "pairs")
+        alike = written(compared(pairs, texts, similar), "alike")
+        roots = components(alike)
+        rest = _untested(numbered, found, groups, roots, classes, texts, max_bits, ratio, similar)
+        if rest is not None:
+            rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+            more = written(compared(rest, texts, similar), "alike")
+            roots = roots if more.isEmpty() else components(alike.union(more))
+        roots = roots.withColumnRenamed("node", "text_hash")
         own = prints.groupBy("text_hash").agg(F.min("doc_id").alias("least")).join(roots, "text_hash", "left")
         own = own.withColumn("root", F.coalesce("root", "text_hash"))
         names = own.groupBy("root").agg(F.min("least").alias("component_id"))

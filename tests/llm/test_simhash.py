@@ -164,3 +164,29 @@ def test_deduplicate_moves_nothing_else_and_changes_no_column(spark, monkeypatch
         assert kept.columns == docs.columns
         assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
         assert [tuple(r) for r in kept.filter("doc_id = 1").collect()] == [(1, text, *cells)]
+
+
+def test_no_link_is_lost_beyond_hubs_and_in_crowds(spark):
+    """Texts whose fingerprint is that of what they repeat, in families of two that differ in one word: those of
+    the first kind share one fingerprint, those of the second make a crowd of linked fingerprints."""
+    rng = random.Random(8)
+    rows = []
+    for kind, (base, times, families) in enumerate((("a b c d e ", 300, 30), ("p q r s t ", 12, 60))):
+        for family in range(families):
+            tail = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+            for k in range(2):
+                rows.append((1000 * kind + 10 * family + k, base * times + " ".join([*tail[:-1], f"last{k}"])))
+    sets = {i: simhash.shingle_set(t) for i, t in rows}
+    prints = {i: brute_print(t) for i, t in rows}
+    assert len({prints[i] for i in prints if i < 1000}) == 1 and len({prints[i] for i in prints if i >= 1000}) > 32
+    near = lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 11
+    assert len({r for i, r in brute_components(prints, lambda a, b: bin(a ^ b).count("1") <= 11).items()}) < 40
+    want = brute_components({i: i for i in sets}, lambda i, j: near(i, j) and simhash.similarity(sets[i], sets[j]) >= 0.8)
+    assert len(set(want.values())) <= 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd, hot in ((4, 16), (32, 4096)):
+        got = simhash.near_duplicates(docs, max_bits=11, ratio=0.8, similar=0.8, crowd=crowd, hot=hot).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+    x, y = sets[0], sets[10]
+    bits = bin(int.from_bytes(simhash.sketch(x)) ^ int.from_bytes(simhash.sketch(y))).count("1")
+    assert 0 < bits <= len(x ^ y)
